@@ -73,7 +73,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SEEDED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _SEEDED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_SPACE] = 0
+_WORD_BYTE = np.where(_SPACE, np.uint64(0), _BYTE)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,16 +107,21 @@ def word_starts(buf: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word; linear in its bytes, mixed at the end."""
+    """A 64-bit hash of each word; the white space after it counts for nothing."""
+    return segment_hashes(buf, starts, _WORD_BYTE)
+
+
+def segment_hashes(buf: np.ndarray, starts: np.ndarray, byte: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit polynomial hash of each run of bytes from one start to the next; linear in its bytes, mixed at the end."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     body = buf[starts[0] :]
     begin = starts - starts[0]
     lengths = np.diff(np.append(begin, len(body)))
-    within = np.arange(len(body), dtype=np.int64) - np.repeat(begin, lengths)
+    within = np.arange(len(body), dtype=np.int32) - np.repeat(begin.astype(np.int32), lengths)
     table = _power_table(int(lengths.max()))
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(_BYTE[body] * table[within], begin))
+        return mix(np.add.reduceat(byte[body] * table[within], begin))
 
 
 def hashed_words(texts: list[str], lower: bool = False) -> Iterator[np.ndarray]:
@@ -146,3 +151,15 @@ def windows_hash(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         for i in range(n):
             out = out * _BASE + salted[i : len(words) - n + 1 + i]
     return mix(out, seed)
+
+
+def only(texts: DataFrame, ids: DataFrame, slots: int = 1 << 20) -> DataFrame:
+    """The texts whose doc_id is in ``ids``.
+
+    A first, coarse filter drops most other texts before the shuffle: the distinct hash
+    slots of the ids, at most ``slots`` of them whatever the corpus, are broadcast.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
+    wanted = ids.select(slot.alias("slot")).distinct()
+    near = texts.withColumn("slot", slot).join(F.broadcast(wanted), "slot", "left_semi").drop("slot")
+    return near.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Each step is a minimum per node, combined on the map side, and a join; hub nodes are
-split by adaptive execution. Every round is written to the shared folder.
+split by adaptive execution, since minima are written before they are joined. Every
+round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> tuple[Data
     mark = _mark(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low, low_path = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large, large_path = stage(large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low.hint("merge"), "u")
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        least, least_path = stage(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        near = large.join(least, "u")
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = stage(small, "cc")
         new_mark = _mark(new)
-        discard(spark, path, large_path)
+        discard(spark, path, low_path, large_path, least_path)
         now, path = new, new_path
         if new_mark == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")), path

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, hashed_words, mix, stage, texts_of, windows_hash
+from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash
 from evalweave.llm.components import connected_components
 
 SKETCH_WORDS = 8  # 512 bits
@@ -163,20 +163,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     full = sig.where("doc_id IS NOT NULL AND n > 0")
     digest = ["n", "d1", "d2"]
     classes = full.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    members, members_path = stage(full.select("doc_id", *digest).join(classes.hint("merge"), digest), "members")
-    reps, reps_path = stage(full.join(members.where("doc_id = rep").select("doc_id", *digest).distinct().hint("merge"), ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id", *digest]), "reps")
+    classes, classes_path = stage(classes, "classes")
+    members, members_path = stage(full.select("doc_id", *digest).join(classes, digest), "members")
+    reps, reps_path = stage(full.join(members.where("doc_id = rep").select("doc_id", *digest).distinct(), ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id", *digest]), "reps")
 
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-    hot, hot_path = stage(keyed.join(shared.hint("merge"), "key"), "buckets")
+    shared, shared_path = stage(shared, "shared")
+    hot, hot_path = stage(keyed.join(shared, "key"), "buckets")
     nodes = hot.select("doc_id").distinct()
-    sets, sets_path = stage(shingle_sets(texts.join(nodes, "doc_id", "left_semi"), words).distinct(), "sets")
+    sets, sets_path = stage(shingle_sets(only(texts, nodes), words).distinct(), "sets")
     node, node_path = stage(reps.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "nodes")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
-        hit = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("y"))
+        hit = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("y"))
         return hit.where(F.col("x") * 100 >= F.col("y") * percent).select("a", "b")
 
     links, used = None, []
@@ -185,31 +187,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     for turn in range(star_rounds + 1):
         if labels is not None:
             # only buckets that still hold several components, each member with its component
-            named = hot.select("key", "doc_id").join(labels.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+            named = hot.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
             named, path = stage(named, "named")
             used.append(path)
             open_ = named.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.expr("max_by(doc_id, struct(label, xxhash64(doc_id)))").alias("low")).where("first < last")
-            buckets, path = stage(named.join(open_.hint("merge"), "key"), "open")
-            used.append(path)
+            open_, open_path = stage(open_, "open")
+            buckets, path = stage(named.join(open_, "key"), "open-buckets")
+            used += [open_path, path]
             if buckets.isEmpty():
                 break
         if turn < star_rounds:
             pairs = buckets.where("doc_id <> low") if labels is None else buckets.where("doc_id <> low AND label <> last")
             pairs = pairs.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
             x, y = node.alias("x"), node.alias("y")
-            pairs = pairs.join(x.hint("merge"), F.col("a") == F.col("x.doc_id")).join(y.hint("merge"), F.col("b") == F.col("y.doc_id")).where(_alike("x", "y", limit, percent)).select("a", "b")
+            pairs = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_alike("x", "y", limit, percent)).select("a", "b")
         else:
-            slim = buckets.select("key", "label", "doc_id").join(node.hint("merge"), "doc_id")
+            slim = buckets.select("key", "label", "doc_id").join(node, "doc_id")
             x, y = slim.alias("x"), slim.alias("y")
-            pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", limit, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", limit, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         found, path = stage(confirmed(pairs.distinct()), "links")
         used.append(path)
         links = found if links is None else links.union(found)
         labels, path = connected_components(links)
         used.append(path)
     names = labels.select(F.col("node").alias("rep"), "label")
-    linked = members.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(names.hint("merge"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    linked = members.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(names, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     lone = sig.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out, _ = stage(linked.unionByName(lone).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "neardup")
-    discard(spark, sig_path, members_path, reps_path, hot_path, sets_path, node_path, *used)
+    discard(spark, sig_path, classes_path, members_path, shared_path, reps_path, hot_path, sets_path, node_path, *used)
     return out

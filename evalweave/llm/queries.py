@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from evalweave.llm import exact, neardup
+from evalweave.llm import exact, neardup, packing, simple8b, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer's file; every machine has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +26,24 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), words=3, percent=85)
 
 
+def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.token_file(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))[0]
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digests(_documents(spark, sf_dir))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_duplicates, op8_exact_duplicates)}
+    return {f.__name__: f for f in (op2_near_duplicates, op4_simple8b, op5_substring, op6_packing, op8_exact_duplicates)}
 
 
 OP8_SQL = r"""
