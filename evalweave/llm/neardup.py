@@ -8,9 +8,11 @@
 3. Buckets link their members to a centre (a star, never all pairs). Sketches reject
    links far under the threshold; the rest is confirmed on the full shingle sets.
 4. Components of confirmed links tell which buckets still hold members of different
-   components. After the star rounds, only pairs across components are compared, by
-   size and sketch inside the join's condition, and confirmed likewise. So no link
-   that the bands find is lost, and large groups of near copies cost a star each.
+   components; those get other centres, round by round, while that clearly lowers the number of
+   pairs left across components. Then each of these
+   pairs is compared once, by size and sketch inside the join's condition, and
+   confirmed likewise. So no link that the bands find is lost, and a group of near
+   copies costs some stars and not its square.
 
 Edge cases: lower-casing is ASCII only; a text with fewer words than a shingle is one
 shingle; null, empty and blank texts have none and are linked with nothing; rows
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash
 from evalweave.llm.components import connected_components
 
-SKETCH_WORDS = 8  # 512 bits
+SKETCH_WORDS = 16  # 1,024 bits
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -42,11 +44,11 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class MinHasher:
-    """``bands`` bands of ``rows`` samples each, and the odd sketch of them all."""
+    """``bands`` bands of ``rows`` samples each; the odd sketch folds these and ``extra`` more."""
 
-    def __init__(self, bands: int, rows: int, seed: int = 7):
+    def __init__(self, bands: int, rows: int, extra: int, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.bands, self.rows, k = bands, rows, bands * rows
+        self.bands, self.rows, k = bands, rows, bands * rows + extra
         self.a = (rng.integers(0, 2**31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.b = rng.integers(0, 2**32, k, dtype=np.uint32)[:, None]
         self.number = np.arange(k, dtype=np.uint64) << np.uint64(32)
@@ -61,7 +63,7 @@ class MinHasher:
 
     def keys(self, samples: np.ndarray) -> np.ndarray:
         """Bucket keys of rows of samples; the band's number is part of its key."""
-        s = samples.reshape(len(samples), self.bands, self.rows).astype(np.uint64)
+        s = samples[:, : self.bands * self.rows].reshape(len(samples), self.bands, self.rows).astype(np.uint64)
         out = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), s.shape[:2])
         for j in range(self.rows):
             out = mix(out + s[:, :, j], j)
@@ -75,17 +77,16 @@ class MinHasher:
         return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
 
-def odd_limit(threshold: float, samples: int, sigmas: float = 7.0) -> int:
-    """Most set bits of the XOR of two sketches at the threshold, with room for chance.
+def odd_limit(threshold: float, samples: int, sigmas: float = 5.5) -> int:
+    """Most set bits of the XOR of two sketches at the threshold, ``sigmas`` standard deviations out.
 
-    Samples differ with chance 1 - J, each flipping two bits; their number and the
-    parity's own spread both stay within ``sigmas`` standard deviations.
+    Samples differ with chance 1 - J and each flips two of the bits, so both the number
+    of differing samples and the parity of their bits vary.
     """
-    bits = 64 * SKETCH_WORDS
-    p = 1 - threshold
-    differ = samples * p + sigmas * math.sqrt(samples * p * (1 - p))
-    share = (1 - math.exp(-4 * differ / bits)) / 2
-    return math.ceil(bits * share + sigmas * math.sqrt(bits * share * (1 - share)) / 2)
+    bits, p = 64 * SKETCH_WORDS, 1 - threshold
+    left = math.exp(-4 * samples * p / bits)
+    share = (1 - left) / 2
+    return math.ceil(bits * share + sigmas * math.sqrt((2 * left) ** 2 * samples * p * (1 - p) + bits * share * (1 - share)))
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -148,7 +149,7 @@ def _alike(a: str, b: str, limit: int, percent: int) -> Column:
     return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {odd} <= {limit}")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, extra: int = 192, star_rounds: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every row.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle
@@ -156,8 +157,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     one at 0.85 with 3e-7.
     """
     spark = docs.sparkSession
-    hasher = MinHasher(bands, rows)
-    limit = odd_limit(percent / 100, bands * rows)
+    hasher = MinHasher(bands, rows, extra)
+    limit = odd_limit(percent / 100, bands * rows + extra)
     texts = texts_of(docs)
     sig, sig_path = stage(signatures(texts, words, hasher), "sig")
     full = sig.where("doc_id IS NOT NULL AND n > 0")
@@ -173,7 +174,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     hot, hot_path = stage(keyed.join(shared, "key"), "buckets")
     nodes = hot.select("doc_id").distinct()
     sets, sets_path = stage(shingle_sets(only(texts, nodes), words).distinct(), "sets")
-    node, node_path = stage(reps.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "sketch"), "nodes")
+    node, node_path = stage(reps.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "sketch", "bands"), "nodes")
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        x, y = node.alias("x"), node.alias("y")
+        return pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_alike("x", "y", limit, percent)).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -181,35 +186,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         hit = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("x"), (F.size("sa") + F.size("sb") - both).alias("y"))
         return hit.where(F.col("x") * 100 >= F.col("y") * percent).select("a", "b")
 
-    links, used = None, []
-    labels = None
-    buckets = hot.select("key", "doc_id", "low")
+    few = node.count()
+    low, used = hot.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct(), []
+    links, path = stage(confirmed(sketched(low)), "links")
+    labels, label_path = connected_components(links)
+    used += [path, label_path]
+    before = None
     for turn in range(star_rounds + 1):
-        if labels is not None:
-            # only buckets that still hold several components, each member with its component
-            named = hot.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-            named, path = stage(named, "named")
-            used.append(path)
-            open_ = named.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.expr("max_by(doc_id, struct(label, xxhash64(doc_id)))").alias("low")).where("first < last")
-            open_, open_path = stage(open_, "open")
-            buckets, path = stage(named.join(open_, "key"), "open-buckets")
-            used += [open_path, path]
-            if buckets.isEmpty():
-                break
-        if turn < star_rounds:
-            pairs = buckets.where("doc_id <> low") if labels is None else buckets.where("doc_id <> low AND label <> last")
-            pairs = pairs.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
-            x, y = node.alias("x"), node.alias("y")
-            pairs = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_alike("x", "y", limit, percent)).select("a", "b")
-        else:
+        # buckets that still hold several components
+        named, path = stage(hot.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "named")
+        sizes = named.groupBy("key", "label").agg(F.count("*").alias("m"), F.expr(f"max_by(doc_id, xxhash64(doc_id, key, {turn}))").alias("hub"))
+        open_ = sizes.groupBy("key").agg(F.expr("(sum(m) * sum(m) - sum(m * m)) / 2").alias("pairs"), F.max(F.expr(f"struct({'m' if turn % 2 == 0 else '1'} AS m, xxhash64(hub, key, {turn}) AS h, hub, label)")).alias("top")).where("pairs > 0")
+        open_, open_path = stage(open_.select("key", "pairs", F.col("top.hub").alias("hub"), F.col("top.label").alias("hub_label")), "open")
+        buckets, bucket_path = stage(named.join(open_, "key"), "open-buckets")
+        used += [path, open_path, bucket_path]
+        across = open_.agg(F.sum("pairs")).first()[0]
+        if not across:
+            break
+        last = turn == star_rounds or across <= 4 * few or (before is not None and across > 0.7 * before)
+        before = across
+        if last:
             slim = buckets.select("key", "label", "doc_id").join(node, "doc_id")
             x, y = slim.alias("x"), slim.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", limit, percent)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        found, path = stage(confirmed(pairs.distinct()), "links")
-        used.append(path)
-        links = found if links is None else links.union(found)
-        labels, path = connected_components(links)
-        used.append(path)
+            # each pair in the first bucket that it shares
+            here = F.expr("get(filter(x.bands, (v, i) -> v = y.bands[i]), 0) = x.key")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", limit, percent) & here).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        else:
+            pairs = sketched(buckets.where("label <> hub_label").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
+        found, path = stage(confirmed(pairs), "links")
+        links = links.union(found)
+        labels, label_path = connected_components(links)
+        used += [path, label_path]
+        if last:
+            break
     names = labels.select(F.col("node").alias("rep"), "label")
     linked = members.select("doc_id", F.col("n").alias("n_shingles"), "rep").join(names, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     lone = sig.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
