@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalweave.llm import exact, neardup, packing, simple8b, substring
+from evalweave.llm import exact, langid, media, neardup, packing, pieces, quality, simple8b, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +23,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), words=3, percent=85)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_file(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))[0]
 
@@ -38,12 +51,26 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return found.withColumn("passages", F.size("passages").cast("long"))
+
+
 def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score_documents(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_documents(spark, sf_dir))[0]
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_duplicates, op4_simple8b, op5_substring, op6_packing, op8_exact_duplicates)}
+    return {f.__name__: f for f in (op1_language, op2_near_duplicates, op3_sentencepiece, op4_simple8b, op5_substring, op6_packing, op7_toxicity, op8_exact_duplicates, op9_quality, op10_media)}
 
 
 OP8_SQL = r"""

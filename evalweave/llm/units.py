@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -53,7 +54,7 @@ def unit_kind(spec: dict) -> tuple[str, str]:
     return "whole", ""
 
 
-class _Memo:
+class Memo:
     """A bounded dictionary: what wasn't used while the newer half filled up is forgotten."""
 
     def __init__(self, half: int):
@@ -88,7 +89,7 @@ class UnitEncoder:
         self.kind, pattern = unit_kind(spec)
         self.pieces = regex.compile(pattern).findall if pattern else None
         self.model, self.letters, self.longest = self.tokenizer.model, _byte_letters(), longest
-        self.units, self.tokens = _Memo(half), _Memo(half // 2)
+        self.units, self.tokens = Memo(half), Memo(half // 2)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -127,30 +128,41 @@ class UnitEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; units are found, hashed and told apart for all texts at once."""
+        """Ids of each text."""
         if self.kind == "whole":
             return [np.frombuffer(x, "<u4") for x in self._whole(texts)]
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        joined = b"".join(raw)
-        begins = np.cumsum([0, *map(len, raw)])
-        if not joined:
-            return [np.zeros(0, np.uint32) for _ in texts]
-        buf = np.frombuffer(joined, np.uint8)
-        cut = np.zeros(len(buf), bool)
-        cut[:-1] = (buf[:-1] == 0x20) & _SOLID[buf[1:]]
-        cut[begins[:-1][begins[:-1] < len(buf)]] = True
-        starts = np.flatnonzero(cut)
-        ends = np.append(starts[1:], len(buf))
-        _, where, which = np.unique(segment_hashes(buf, starts), return_index=True, return_inverse=True)
-        found = self._look([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        sizes = np.array([len(x) >> 2 for x in found])
-        flat = np.frombuffer(b"".join(found), "<u4")
-        tokens = sizes[which]
-        stops = np.cumsum(tokens)
-        offset = (np.cumsum(sizes) - sizes)[which] - (stops - tokens)
-        ids = flat[np.repeat(offset, tokens) + np.arange(stops[-1])]
-        bounds = np.concatenate([[0], stops])[np.searchsorted(starts, begins)]
-        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return by_units([t.encode("utf-8", "surrogatepass") for t in texts], _before_words, self._look)
+
+
+def _before_words(buf: np.ndarray) -> np.ndarray:
+    return (buf[:-1] == 0x20) & _SOLID[buf[1:]]
+
+
+def by_units(raw: list[bytes], cuts: Callable[[np.ndarray], np.ndarray], look: Callable[[list[bytes]], list[bytes]]) -> list[np.ndarray]:
+    """Ids of each text from the ids of its units; units are found, hashed and told apart for all texts at once.
+
+    ``cuts`` tells of all bytes but the last whether a unit begins there; ``look`` gives the ids of distinct units.
+    """
+    joined = b"".join(raw)
+    begins = np.cumsum([0, *map(len, raw)])
+    if not joined:
+        return [np.zeros(0, np.uint32) for _ in raw]
+    buf = np.frombuffer(joined, np.uint8)
+    cut = np.zeros(len(buf), bool)
+    cut[:-1] = cuts(buf)
+    cut[begins[:-1][begins[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(buf))
+    _, where, which = np.unique(segment_hashes(buf, starts), return_index=True, return_inverse=True)
+    found = look([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+    sizes = np.array([len(x) >> 2 for x in found])
+    flat = np.frombuffer(b"".join(found), "<u4")
+    tokens = sizes[which]
+    stops = np.cumsum(tokens)
+    offset = (np.cumsum(sizes) - sizes)[which] - (stops - tokens)
+    ids = flat[np.repeat(offset, tokens) + np.arange(stops[-1])]
+    bounds = np.concatenate([[0], stops])[np.searchsorted(starts, begins)]
+    return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def encoder(path: str) -> UnitEncoder:
