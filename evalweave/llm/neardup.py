@@ -1,9 +1,9 @@
 """MinHash near duplicates with odd sketches.
 
-1. One Arrow pass turns each text into its MinHash samples. Bands of samples give
-   bucket keys; all samples are folded into an odd sketch, a bitmap in which each
-   (sample number, value) flips one bit. The population count of the XOR of two
-   sketches estimates how many samples differ, most precisely at high similarity.
+1. One Arrow pass turns each text into MinHash samples. Bands of samples give bucket
+   keys. Samples of one further permutation are folded into an odd sketch, a bitmap in
+   which each sample flips one bit. The population count of the XOR of two sketches
+   estimates how many samples differ, most precisely at high similarity.
 2. Documents with one and the same shingle set form a class, named by its smallest id.
 3. Buckets link their members to a centre (a star, never all pairs). Sketches reject
    links far under the threshold; the rest is confirmed on the full shingle sets.
@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash
+from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash, without
 from evalweave.llm.components import connected_components
 
-SKETCH_WORDS = 16  # 1,024 bits
+BINS = 4096  # samples of a sketch
+BITS = 2048  # of a sketch
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -44,14 +45,13 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class MinHasher:
-    """``bands`` bands of ``rows`` samples each; the odd sketch folds these and ``extra`` more."""
+    """``bands`` bands of ``rows`` samples each."""
 
-    def __init__(self, bands: int, rows: int, extra: int, seed: int = 7):
+    def __init__(self, bands: int, rows: int, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.bands, self.rows, k = bands, rows, bands * rows + extra
+        self.bands, self.rows, k = bands, rows, bands * rows
         self.a = (rng.integers(0, 2**31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.b = rng.integers(0, 2**32, k, dtype=np.uint32)[:, None]
-        self.number = np.arange(k, dtype=np.uint64) << np.uint64(32)
 
     def samples(self, shingles: np.ndarray, block: int = 2048) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -63,30 +63,37 @@ class MinHasher:
 
     def keys(self, samples: np.ndarray) -> np.ndarray:
         """Bucket keys of rows of samples; the band's number is part of its key."""
-        s = samples[:, : self.bands * self.rows].reshape(len(samples), self.bands, self.rows).astype(np.uint64)
+        s = samples.reshape(len(samples), self.bands, self.rows).astype(np.uint64)
         out = np.broadcast_to(np.arange(self.bands, dtype=np.uint64), s.shape[:2])
         for j in range(self.rows):
             out = mix(out + s[:, :, j], j)
         return out
 
-    def sketches(self, samples: np.ndarray) -> np.ndarray:
-        bits = 64 * SKETCH_WORDS
-        at = (mix(self.number + samples, 99) % np.uint64(bits)).astype(np.int64)
-        rows = np.repeat(np.arange(len(samples)), samples.shape[1])
-        odd = np.bincount(rows * bits + at.ravel(), minlength=len(samples) * bits).reshape(len(samples), bits) & 1
-        return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of MinHash samples by one permutation: the least shingle of each of ``BINS`` bins flips a bit."""
+    least = np.zeros(BINS, np.uint64)
+    least[(shingles & np.uint64(BINS - 1)).astype(np.int64)[::-1]] = shingles[::-1]  # sorted, so the least is written last
+    at = (mix(least[least != 0], 99) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
-def odd_limit(threshold: float, samples: int, sigmas: float = 5.5) -> int:
-    """Most set bits of the XOR of two sketches at the threshold, ``sigmas`` standard deviations out.
 
-    Samples differ with chance 1 - J and each flips two of the bits, so both the number
-    of differing samples and the parity of their bits vary.
+def odd_limit(n: str, threshold: float, sigmas: float = 5.0) -> str:
+    """SQL for the most set bits of the XOR of two sketches at the threshold; ``n`` is the sum of both sets' sizes.
+
+    Of the union's bins each differs with chance 1 - J, all but exactly so where bins
+    hold one shingle. A bin that differs flips one bit, or two if both sets are in it;
+    bits flipped twice vanish. The spread of all three is allowed for.
     """
-    bits, p = 64 * SKETCH_WORDS, 1 - threshold
-    left = math.exp(-4 * samples * p / bits)
-    share = (1 - left) / 2
-    return math.ceil(bits * share + sigmas * math.sqrt((2 * left) ** 2 * samples * p * (1 - p) + bits * share * (1 - share)))
+    t, k = threshold, float(BINS)
+    union = f"({n} / {1 + t})"
+    bins = f"({k} * (1 - exp(-{union} / {k})))"
+    differ = f"({bins} * {1 - t})"
+    lone = f"exp(-{n} / {2 * k})"
+    spread = f"sqrt(power(2 - {lone}, 2) * {bins} * {t * (1 - t)} * (1 - {bins} / {union} + 0.001) + {differ} * {lone} * (1 - {lone}))"
+    flips = f"({differ} * (2 - {lone}) + {sigmas} * {spread} + 1)"
+    parity = f"({BITS / 4} * (1 - exp(-4 * {flips} / {BITS})) - {flips} * exp(-4 * {flips} / {BITS}))"
+    return f"least({flips}, {BITS / 2} * (1 - exp(-2 * {flips} / {BITS})) + {sigmas} * sqrt(greatest({parity}, 0)))"
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -99,7 +106,7 @@ def signatures(texts: DataFrame, words: int, hasher: MinHasher) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            n, digest, mins, some = [], [], [], []
+            n, digest, mins, sketches, some = [], [], [], [], []
             for i, h in enumerate(hashed_words(part.column(1).to_pylist(), lower=True)):
                 s = shingle_set(h, words)
                 n.append(len(s))
@@ -107,12 +114,12 @@ def signatures(texts: DataFrame, words: int, hasher: MinHasher) -> DataFrame:
                 if len(s):
                     some.append(i)
                     mins.append(hasher.samples(s))
+                    sketches.append(odd_sketch(s))
             d = np.array(digest, np.uint64).reshape(-1, 2).view(np.int64)
             keys = np.zeros((len(n), hasher.bands), np.uint64)
-            odd = np.zeros((len(n), SKETCH_WORDS), np.uint64)
+            odd = np.zeros((len(n), BITS // 64), np.uint64)
             if some:
-                m = np.stack(mins)
-                keys[some], odd[some] = hasher.keys(m), hasher.sketches(m)
+                keys[some], odd[some] = hasher.keys(np.stack(mins)), np.stack(sketches)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), _lists(keys), _lists(odd)], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
     return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
@@ -143,22 +150,21 @@ def _set_batch(ids: list, sets: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "shingles"])
 
 
-def _alike(a: str, b: str, limit: int, percent: int) -> Column:
+def _alike(a: str, b: str, percent: int) -> Column:
     """May two nodes reach the threshold, by their sizes and sketches?"""
-    odd = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH_WORDS))
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {odd} <= {limit}")
+    odd = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(BITS // 64))
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {odd} <= {odd_limit(f'double({a}.n + {b}.n)', percent / 100)}")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, extra: int = 192, star_rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 38, rows: int = 5, star_rounds: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id) of every row.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle
-    sets. A pair right at 0.8 is missed by all bands with chance (1 - 0.8^6)^32 = 6e-5,
-    one at 0.85 with 3e-7.
+    sets. All bands miss a pair right at 0.8 with chance (1 - 0.8^5)^38 = 3e-7; 32 bands
+    of 6 miss one at 0.85 with 3e-7.
     """
     spark = docs.sparkSession
-    hasher = MinHasher(bands, rows, extra)
-    limit = odd_limit(percent / 100, bands * rows + extra)
+    hasher = MinHasher(bands, rows)
     texts = texts_of(docs)
     sig, sig_path = stage(signatures(texts, words, hasher), "sig")
     full = sig.where("doc_id IS NOT NULL AND n > 0")
@@ -178,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     def sketched(pairs: DataFrame) -> DataFrame:
         x, y = node.alias("x"), node.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_alike("x", "y", limit, percent)).select("a", "b")
+        return pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_alike("x", "y", percent)).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -210,7 +216,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             x, y = slim.alias("x"), slim.alias("y")
             # each pair in the first bucket that it shares
             here = F.expr("get(filter(x.bands, (v, i) -> v = y.bands[i]), 0) = x.key")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", limit, percent) & here).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _alike("x", "y", percent) & here).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
         else:
             pairs = sketched(buckets.where("label <> hub_label").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
         found, path = stage(confirmed(pairs), "links")
@@ -225,3 +231,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     out, _ = stage(linked.unionByName(lone).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "neardup")
     discard(spark, sig_path, classes_path, members_path, shared_path, reps_path, hot_path, sets_path, node_path, *used)
     return out
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each group, with all their columns."""
+    found = near_duplicates(docs, words, percent)
+    return without(docs, found.where("NOT kept"))
