@@ -68,6 +68,20 @@ def batches(ids: list, texts: list, most: int = 1 << 20) -> Iterator[tuple[list,
         yield ids[at:], texts[at:]
 
 
+def without(rows: DataFrame, ids: DataFrame, slots: int = 1 << 20) -> DataFrame:
+    """The rows whose doc_id isn't in ``ids``, rows without doc_id among them.
+
+    As in :func:`only`, a broadcast of hash slots settles most rows where they are.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    keyed = rows.withColumn("__slot", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots)).cast("int"))
+    wanted = F.broadcast(ids.select(slot.alias("__slot")).distinct())
+    clear = keyed.join(wanted, "__slot", "left_anti")
+    unclear = keyed.join(wanted, "__slot", "left_semi").join(ids, keyed["doc_id"].cast("long") == ids["doc_id"], "left_anti")
+    return clear.unionByName(unclear).drop("__slot")
+
+
 # Words are runs of bytes other than these six.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import stage, texts_of
+from evalweave.llm.common import discard, stage, texts_of, without
 
 _END = 2**31 - 1
 
@@ -27,17 +27,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
 
 
-def _split(active: DataFrame, width: int) -> DataFrame:
-    """One level: rows by their next ``width`` bytes; ``gid`` is null where a row is alone."""
+def _split(active: DataFrame, width: int) -> tuple[DataFrame, str]:
+    """One level: rows by their next ``width`` bytes; ``gid`` is null where a row is alone. And a scratch table."""
     rest = F.col("rest")
     # substring of a binary column counts bytes
     keyed = active.select("doc_id", "tag", "n_cp", "sha", F.col("gid").alias("was"), F.substring(rest, 1, width).alias("digit"), (F.length(rest) <= width).alias("ended"), F.expr(f"substring(rest, {width + 1}, {_END})").alias("tail"))
     key = ["was", "digit", "ended"]
     # written first: then both sides of the join are plain exchanges, whose hot partitions adaptive execution splits
-    groups, _ = stage(keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag")).alias("gid")).where("n > 1").drop("n"), "radix-groups")
+    groups, path = stage(keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag")).alias("gid")).where("n > 1").drop("n"), "radix-groups")
     joined = keyed.join(groups, key, "left")
     alone = F.col("gid").isNull()
-    return joined.select("doc_id", "tag", "n_cp", "sha", "gid", (alone | F.col("ended")).alias("done"), F.when(~(alone | F.col("ended")), F.col("tail")).alias("rest"))
+    done = alone | F.col("ended")
+    return joined.select("doc_id", "tag", "n_cp", "sha", "gid", done.alias("done"), F.when(~done, F.col("tail")).alias("rest")), path
 
 
 def exact_duplicates(docs: DataFrame, first_width: int = 64, factor: int = 8) -> DataFrame:
@@ -52,9 +53,11 @@ def exact_duplicates(docs: DataFrame, first_width: int = 64, factor: int = 8) ->
     facts = facts.select("doc_id", "n_cp", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("tag"), F.col("norm").cast("binary").alias("rest"))
     whole = F.struct(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"))
     active = facts.where("doc_id IS NOT NULL").withColumn("gid", whole)
-    done, width = [], first_width
+    done, width, used = [], first_width, []
     while True:
-        level, _ = stage(_split(active, width), "radix")
+        split, groups_path = _split(active, width)
+        level, path = stage(split, "radix")
+        used += [groups_path, path]
         done.append(level.where("done").drop("done", "rest"))
         active = level.where("NOT done").drop("done")
         if active.isEmpty():
@@ -65,7 +68,15 @@ def exact_duplicates(docs: DataFrame, first_width: int = 64, factor: int = 8) ->
         ended = ended.unionByName(part)
     alone = ended.where("gid IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     grouped = ended.where("gid IS NOT NULL")
-    best, _ = stage(grouped.groupBy("gid").agg(F.count("*").alias("group_size"), F.expr("max_by(doc_id, struct(n_cp, -doc_id))").alias("keep_id")), "radix-kept")
+    best, best_path = stage(grouped.groupBy("gid").agg(F.count("*").alias("group_size"), F.expr("max_by(doc_id, struct(n_cp, -doc_id))").alias("keep_id")), "radix-kept")
     members = grouped.join(best, "gid").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     nameless = facts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    return alone.unionByName(members).unionByName(nameless)
+    out, _ = stage(alone.unionByName(members).unionByName(nameless), "exact")
+    discard(docs.sparkSession, best_path, *used)
+    return out
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    found = exact_duplicates(docs)
+    return without(docs, found.where("NOT kept").join(found.where("kept").select("doc_id"), "doc_id", "left_anti"))

@@ -32,7 +32,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_documents(spark, sf_dir), words=3, percent=85)
+    return neardup.near_duplicates(_documents(spark, sf_dir), words=3, percent=85, bands=32, rows=6)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

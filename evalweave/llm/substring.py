@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, hashed_words, only, stage, texts_of, windows_hash, mix
+from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash, without
 
 GRAM = 16
 _KEY = ["fp", "ctx", "n"]
@@ -117,6 +117,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
         self.runs: list[tuple[DataFrame, str]] = []
+        self.scratch: list[str] = []
 
     def all(self) -> DataFrame | None:
         out = None
@@ -124,6 +125,16 @@ class FingerprintIndex:
             out = run if out is None else out.unionByName(run)
         return out
 
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = stage(df, name)
+        self.scratch.append(path)
+        return out
+
+    def clear(self, log: bool = False) -> None:
+        """Delete scratch tables, and the log too if asked."""
+        discard(self.spark, *self.scratch, *(path for _, path in self.runs if log))
+        self.scratch = []
+
     def append(self, run: DataFrame) -> None:
         self.runs.append(stage(run.sortWithinPartitions(*_KEY), "fp-run"))
         if len(self.runs) > self.fanout:
@@ -143,32 +154,30 @@ class FingerprintIndex:
         the log holds; ``texts`` are the documents of the batch and of the log.
         """
         own = batch.groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-        own, own_path = stage(own.sortWithinPartitions(*_KEY), "fp-batch")
+        own = self._stage(own.sortWithinPartitions(*_KEY), "fp-batch")
         past = self.all()
         known = own.select(*_KEY, "at", "doc_id", "last", F.lit(True).alias("new"))
         if past is not None:
             # only the log's entries with a fingerprint of the batch matter
             met = past.join(own.select("fp").distinct(), "fp", "left_semi").select(*_KEY, "at", "doc_id", F.col("doc_id").alias("last"), F.lit(False).alias("new"))
             known = known.unionByName(met).groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("last").alias("last"), F.bool_and("new").alias("new"))
-            known, known_path = stage(known, "fp-known")
-        shared, _ = stage(known.where("doc_id < last").select(*_KEY, F.col("doc_id").alias("first")), "fp-shared")
+            known = self._stage(known, "fp-known")
+        shared = self._stage(known.where("doc_id < last").select(*_KEY, F.col("doc_id").alias("first")), "fp-shared")
         whole = batch.join(shared, _KEY).where("doc_id > first").select("doc_id", "at", "n")
 
-        several, _ = stage(known.groupBy("fp").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("new").alias("any")).where("c > 1 AND lo < hi AND any").select("fp"), "fp-several")
+        several = self._stage(known.groupBy("fp").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("new").alias("any")).where("c > 1 AND lo < hi AND any").select("fp"), "fp-several")
         open_ = known.join(several, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"), F.bool_or("new").alias("new"))
-        open_, _ = stage(open_, "fp-open")
+        open_ = self._stage(open_, "fp-open")
         read = only(texts, open_).join(open_, "doc_id").select("doc_id", "text", "spans")
-        windows, _ = stage(_windows(read, window), "windows")
-        first, _ = stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows-first")
+        windows = self._stage(_windows(read, window), "windows")
+        first = self._stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows-first")
         part = windows.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
-        marks, _ = stage(whole.unionByName(part), "marks")
+        marks = self._stage(whole.unionByName(part), "marks")
         if past is not None:
             # marks of documents already in the log were given with their own batch
             low = own.agg(F.min("doc_id")).first()[0]
             marks = marks.where(F.col("doc_id") >= F.lit(low))
-            discard(self.spark, known_path)
         self.append(own.select(*_KEY, "at", "doc_id"))
-        discard(self.spark, own_path)
         return marks
 
 
@@ -201,7 +210,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tu
     """
     spark = docs.sparkSession
     texts = texts_of(docs)
-    facts, _ = stage(fingerprints(texts, window), "fingerprints")
+    facts, facts_path = stage(fingerprints(texts, window), "fingerprints")
     some = facts.where("doc_id IS NOT NULL AND n_words >= %d" % window)
     cuts = sorted(set(some.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *(int(c) for c in cuts), None]
@@ -212,14 +221,31 @@ def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tu
         upto = F.lit(True) if high is None else F.col("doc_id") <= high
         found = index.add_batch(flat.where(inside & upto), texts.where(upto), window)
         marks = found if marks is None else marks.unionByName(found)
-    spans, _ = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marked")
+    spans, spans_path = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marked")
     cut = _cut(only(texts, spans).join(spans, "doc_id").select("doc_id", "text", "marks"), window)
-    return cut, facts.select("doc_id", "n_words", "sha")
+    cut, _ = stage(cut, "cut")
+    rest, _ = stage(facts.select("doc_id", "n_words", "sha"), "facts")
+    index.clear(log=True)
+    discard(spark, facts_path, spans_path)
+    return cut, rest
 
 
 def substring_digests(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     cut, facts = repeated_passages(docs, window, batches)
-    cut, _ = stage(cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "cut")
+    cut = cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     rest = facts.join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
     return cut.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
+
+
+def drop_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFrame:
+    """All rows of ``docs`` with all their columns; texts that lose words are their kept words joined by spaces.
+
+    A column n_chars follows the new texts.
+    """
+    cut, _ = repeated_passages(docs, window, batches)
+    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("__of"), "kept").dropDuplicates(["__of"])
+    ids = cut.select(F.col("__of").alias("doc_id"))
+    new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    changed = only(docs, ids).join(cut, F.col("doc_id") == F.col("__of"))
+    return without(docs, ids).unionByName(changed.withColumns(new).select(*docs.columns))

@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Words are lower-cased runs of letters and digits. Each word's score is its log-odds in
-toxic against clean training texts under a Dirichlet prior shaped like the whole
-training vocabulary; words whose z-score is small, and unknown words, score a small
-negative constant. One linear scan of a text finds all its maximal scoring segments.
+Words are lower-cased runs of letters and digits. A term, which is a word or a word's
+beginning, has its log-odds in toxic against clean training texts under a Dirichlet
+prior shaped like the whole training vocabulary. A word scores like the one of its
+terms with the clearest z-score; words without a clear term score a small negative
+constant. One linear scan of a text finds all its maximal scoring segments.
 Under the clean texts' word frequencies the best segment of m words follows an extreme
 value law, which turns each segment's score into a bit-like excess
 x = lambda * score - log(K * m); K is fitted to the clean training texts. A logistic
@@ -26,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import batches, crc_fold, only, segment_hashes, stage, texts_of, _BYTE
+from evalweave.llm.common import _BYTE, batches, crc_fold, mix, only, segment_hashes, stage, texts_of, windows_hash
+from evalweave.runtime import ship
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+STEMS = (4, 5, 6, 7, 8)
+_STEP = np.uint64(0xD1342543DE82EF95)
 _WORD_HASH = np.where(_WORD, _BYTE, np.uint64(0))
 
 
 def hashed_terms(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Hashes of the words of each text, in order."""
+    """For each text a row of hashes a word: of the word, then of its beginnings of 4 to 8 bytes, 0 where the word is no longer than that."""
     for _, part in batches(texts, [t or "" for t in texts]):
         raw = [t.lower().encode("utf-8", "surrogatepass") for t in part]
         buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -42,13 +46,32 @@ def hashed_terms(texts: list[str | None]) -> Iterator[np.ndarray]:
         first = word.copy()
         first[1:] &= ~word[:-1]
         starts = np.flatnonzero(first)
-        hashes = segment_hashes(buf, starts, _WORD_HASH)
+        hashes = _term_hashes(buf, starts)
         at = 0
         for cut in np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])):
             yield hashes[at:cut]
             at = cut
 
 
+def _term_hashes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(starts), 1 + len(STEMS)), np.uint64)
+    if not len(starts):
+        return out
+    body, begin = buf[starts[0] :], starts - starts[0]
+    ends = np.append(begin[1:], len(body))
+    size = np.add.reduceat(_WORD[body].astype(np.int32), begin)
+    out[:, 0] = segment_hashes(buf, starts, _WORD_HASH)
+    # the first bytes of each word one by one: a beginning's hash is the hash before it and one byte more
+    run = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(STEMS[-1]):
+            byte = _WORD_HASH[body[np.minimum(begin + j, ends - 1)]]
+            run = run * _STEP + byte
+            if j + 1 in STEMS:
+                out[:, 1 + STEMS.index(j + 1)] = np.where(size > j + 1, mix(run, j + 1), np.uint64(0))
+    return out
+
+
 def segments(places: np.ndarray, scores: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last place, score), in one pass.
 
@@ -77,34 +100,48 @@ def segments(places: np.ndarray, scores: np.ndarray, gap: float) -> list[tuple[i
 
 
 class Model(NamedTuple):
-    """Sorted word hashes with their scores, and the constants of the calibration."""
+    """Sorted hashes of words and beginnings with their scores and z, and the constants of the calibration."""
 
-    words: np.ndarray
+    terms: np.ndarray
     scores: np.ndarray
+    z: np.ndarray
     gap: float
     scale: float  # lambda of the extreme value law
     log_k: float
     weights: np.ndarray
 
-    def found(self, terms: np.ndarray) -> list[tuple[int, int, float]]:
-        """Segments (first, last word, excess) of a text."""
-        if not len(self.words) or not len(terms):
+    def sieve(self) -> np.ndarray:
+        """Which values of the low 20 bits any term has."""
+        out = np.zeros(1 << 20, bool)
+        out[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return out
+
+    def found(self, words: np.ndarray, sieve: np.ndarray) -> list[tuple[int, int, float]]:
+        """Segments (first, last word, excess) of a text. Of a word and its beginnings, the one with the clearest z counts."""
+        if not len(self.terms) or not len(words):
             return []
-        at = np.minimum(np.searchsorted(self.words, terms), len(self.words) - 1)
-        known = np.flatnonzero(self.words[at] == terms)
-        scores = self.scores[at[known]]
+        row, col = np.nonzero(sieve[(words & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.terms, words[row, col]), len(self.terms) - 1)
+        real = self.terms[at] == words[row, col]
+        row, at = row[real], at[real]
+        if not len(row):
+            return []
+        order = np.lexsort((-np.abs(self.z[at]), row))
+        row, at = row[order], at[order]
+        one = np.concatenate([[True], row[1:] != row[:-1]])
+        row, scores = row[one], self.scores[at[one]]
         if not (scores > 0).any():
             return []
-        level = self.log_k + math.log(len(terms))
-        return [(a, b, self.scale * s - level) for a, b, s in segments(known, scores, self.gap)]
+        level = self.log_k + math.log(len(words))
+        return [(a, b, self.scale * s - level) for a, b, s in segments(row, scores, self.gap)]
 
-    def features(self, terms: np.ndarray) -> list[float]:
+    @staticmethod
+    def features(found: list[tuple[int, int, float]], n: int) -> list[float]:
         """Best excess (0 at least -8), summed significant excess, their share of the words."""
-        found = self.found(terms)
         if not found:
             return [0.0, 0.0, 0.0]
         strong = [(a, b, x) for a, b, x in found if x > 0]
-        return [min(max(max(x for *_, x in found) + 8.0, 0.0), 60.0) / 8, math.log1p(sum(x for *_, x in strong)), min(1.0, sum(b - a + 1 for a, b, _ in strong) / len(terms))]
+        return [min(max(max(x for *_, x in found) + 8.0, 0.0), 60.0) / 8, math.log1p(sum(x for *_, x in strong)), min(1.0, sum(b - a + 1 for a, b, _ in strong) / n)]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + features @ self.weights[1:], -30, 30)))
@@ -138,53 +175,85 @@ def _lambda(scores: np.ndarray, chance: np.ndarray) -> float:
     return low or high
 
 
-def learn(labelled: DataFrame, prior: float = 1000.0, least_z: float = 3.0, gap: float = 0.05, most_words: int = 20_000) -> Model:
-    """A model from staged (text, y): word counts are summed before the shuffle, and only words with a clear z-score reach the driver."""
+def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: float = 0.05, most_terms: int = 20_000) -> Model:
+    """A model from staged (text, y).
+
+    Of texts that begin a near-copy family (equal least hash of three-word windows, twice)
+    one is counted. Counts are summed before the shuffle; a term needs a clear z-score
+    over words and a fair one over texts, and only such terms reach the driver.
+    """
+
+    def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            least = []
+            for words in hashed_terms(batch.column(0).to_pylist()):
+                w = windows_hash(words[:, 0], min(3, max(1, len(words))))
+                least.append((int(w.min()), int(mix(w, 9).min())) if len(w) else (0, 0))
+            a, b = np.array(least, np.uint64).reshape(-1, 2).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["text", "y", "a", "b"])
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            y = np.array(batch.column(1).to_pylist())
-            terms = list(hashed_terms(batch.column(0).to_pylist()))
-            all_ = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
-            toxic = np.repeat(y, [len(t) for t in terms])
-            words, which = np.unique(all_, return_inverse=True)
-            one = np.bincount(which, toxic, len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(one), pa.array(np.bincount(which, minlength=len(words)) - one)], ["word", "n1", "n0"])
-
-    counts, _ = stage(labelled.select("text", "y").mapInArrow(count, "word long, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "words")
-    kinds = dict(labelled.groupBy("y").count().collect())
+            y = batch.column(1).to_pylist()
+            terms, sums = [], []
+            for kind, words in zip(y, hashed_terms(batch.column(0).to_pylist()), strict=True):
+                t, n = np.unique(words, return_counts=True)
+                one = np.ones(len(t), np.int64)
+                terms.append(t)
+                sums.append(np.stack([n * kind, n * (1 - kind), one * kind, one * (1 - kind)]))
+            if terms:
+                t, which = np.unique(np.concatenate(terms), return_inverse=True)
+                c = [np.bincount(which, x, len(t)).astype(np.int64) for x in np.concatenate(sums, axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), *map(pa.array, c)], ["term", "n1", "n0", "d1", "d0"])
+
+    rows = labelled.select("text", "y")
+    kinds = dict(rows.groupBy("y").count().collect())
     share = kinds.get(1, 0) / max(1, sum(kinds.values()))
-    flat = np.array([math.log(min(max(share, 1e-6), 1 - 1e-6) / (1 - min(max(share, 1e-6), 1 - 1e-6))) if share else -30.0, 0, 0, 0])
+    flat = np.array([math.log(max(share, 1e-13) / max(1 - share, 1e-13)), 0, 0, 0])
     if len(kinds) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), gap, 1.0, 0.0, flat)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), gap, 1.0, 0.0, flat)
+    single = rows.mapInArrow(sign, "text string, y int, a long, b long").dropDuplicates(["y", "a"]).dropDuplicates(["y", "b"])
+    single, _ = stage(single.select("text", "y"), "single")
+    counts, _ = stage(single.mapInArrow(count, "term long, n1 long, n0 long, d1 long, d0 long").where("term <> 0").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0"))), "terms")
+    texts = {r.y: r[1] for r in single.groupBy("y").count().collect()}
+
+    def odds(one: str, none: str, all1: float, all0: float) -> tuple[F.Column, F.Column]:
+        size = prior * (all1 + all0)  # the prior weighs as much as this many counts
+        a = (F.col(one) + F.col(none)) * prior
+        x = F.log((F.col(one) + a) / (all1 + size - F.col(one) - a)) - F.log((F.col(none) + a) / (all0 + size - F.col(none) - a))
+        return x, x / F.sqrt(1 / (F.col(one) + a) + 1 / (F.col(none) + a))
+
     t1, t0 = (float(x or 0) for x in counts.agg(F.sum("n1"), F.sum("n0")).first())
-    a = (F.col("n1") + F.col("n0")) * (prior / (t1 + t0))
-    odds = F.log((F.col("n1") + a) / (t1 + prior - F.col("n1") - a)) - F.log((F.col("n0") + a) / (t0 + prior - F.col("n0") - a))
-    z = odds / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    rows = counts.select("word", "n0", odds.alias("score"), z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "word").limit(most_words).collect()
-    rows.sort(key=lambda r: r.word & (2**64 - 1))
-    words = np.array([r.word for r in rows], np.int64).view(np.uint64)
-    scores = np.array([r.score for r in rows], float)
-    chance = np.array([r.n0 for r in rows], float) / max(t0, 1)
+    score_, z = odds("n1", "n0", t1, t0)
+    _, z_texts = odds("d1", "d0", float(texts.get(1, 0)), float(texts.get(0, 0)))
+    clear = (F.abs("z") >= least_z) & (F.abs("zd") >= least_z / 2) & (F.signum("z") == F.signum("zd"))
+    found = counts.select("term", "n0", score_.alias("score"), z.alias("z"), z_texts.alias("zd")).where(clear).orderBy(F.abs("z").desc(), "term").limit(most_terms).collect()
+    found.sort(key=lambda r: r.term & (2**64 - 1))
+    terms = np.array([r.term for r in found], np.int64).view(np.uint64)
+    scores = np.array([r.score for r in found], float)
+    chance = np.array([r.n0 for r in found], float) / max(t0, 1)
     scale = _lambda(np.append(scores, -gap), np.append(chance, max(0.0, 1 - chance.sum())))
-    draft = Model(words, scores, gap, scale, 0.0, flat)
-
-    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            rows_ = [(len(t), max((x for *_, x in draft.found(t)), default=None)) for t in hashed_terms(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([b for _, b in rows_], pa.float64())], ["y", "x"])
+    draft = Model(terms, scores, np.array([r.z for r in found], float), gap, scale, 0.0, flat)
 
     # P(no excess above x) = exp(-K exp(-x)): the likeliest K is n / sum(exp(-x)) over clean texts, those without segment counting as x = 0
-    clean = labelled.select("text", "y").mapInArrow(best, "y int, x double").where("y = 0").agg(F.count("*"), F.sum(F.exp(-F.greatest(F.coalesce("x", F.lit(0.0)), F.lit(-30.0))))).first()
+    best = single.mapInArrow(lambda parts: _best(parts, draft), "y int, x double")
+    clean = best.where("y = 0").agg(F.count("*"), F.sum(F.exp(-F.greatest(F.coalesce("x", F.lit(0.0)), F.lit(-30.0))))).first()
     fitted = draft._replace(log_k=math.log(max(clean[0], 1) / max(clean[1] or 1.0, 1e-9)))
-    sample = labelled.select("text", "y").mapInArrow(lambda parts: _features(parts, fitted), "y int, f array<double>").collect()
-    x, y = np.array([r.f for r in sample]), np.array([r.y for r in sample], float)
-    return fitted._replace(weights=_logistic(x, y))
+    sample = single.mapInArrow(lambda parts: _features(parts, fitted), "y int, f array<double>").collect()
+    return fitted._replace(weights=_logistic(np.array([r.f for r in sample]), np.array([r.y for r in sample], float)))
+
+
+def _best(parts: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    sieve = model.sieve()
+    for batch in parts:
+        best = [max((x for *_, x in model.found(t, sieve)), default=None) for t in hashed_terms(batch.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(best, pa.float64())], ["y", "x"])
 
 
 def _features(parts: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    sieve = model.sieve()
     for batch in parts:
-        rows = [model.features(t) for t in hashed_terms(batch.column(0).to_pylist())]
+        rows = [model.features(model.found(t, sieve), len(t)) for t in hashed_terms(batch.column(0).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["y", "f"])
 
 
@@ -193,11 +262,14 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("excess", pa.float64())]))
+        sieve = model.sieve()
         for batch in parts:
-            terms = list(hashed_terms(batch.column(1).to_pylist()))
-            f = np.array([model.features(t) for t in terms]).reshape(-1, 3)
-            spans = [[{"first": a, "last": b, "excess": x} for a, b, x in model.found(t) if x > 0] for t in terms]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(f), pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
+            f, spans = [], []
+            for words in hashed_terms(batch.column(1).to_pylist()):
+                found = model.found(words, sieve)
+                f.append(model.features(found, len(words)))
+                spans.append([{"first": a, "last": b, "excess": x} for a, b, x in found if x > 0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(np.array(f).reshape(-1, 3)), pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
 
     return texts.mapInArrow(run, "doc_id long, score double, passages array<struct<first:long,last:long,excess:double>>")
 
@@ -212,6 +284,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: F.Column
     return stage(only(texts_of(docs), known).join(known, "doc_id").select("text", "y"), "training")[0]
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` under the threshold, with all their columns; nothing is shuffled but the training sample."""
+    ship(docs.sparkSession)
+    model = learn(training_rows(docs, labels, "toxic", crc_fold(fold) == held, most))
+    at = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = model.sieve()
+        for batch in parts:
+            f = [model.features(model.found(t, sieve), len(t)) for t in hashed_terms(batch.column(at).to_pylist())]
+            keep = model.score(np.array(f).reshape(-1, 3)) < threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted, passages of every row; fitted on about ``most`` labelled rows."""
     out = crc_fold(fold) == held
