@@ -171,7 +171,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFr
         enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in parts:
             rows: list[tuple] = []
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 21):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
                 for doc_id, ids in zip(some, enc.encode(texts), strict=True):
                     ids = np.append(ids, end).astype("<u4")
                     rows += [(doc_id, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size].tobytes()), len(ids)) for at in range(0, len(ids), size)]

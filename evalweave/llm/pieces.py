@@ -218,7 +218,7 @@ def encode(docs: DataFrame, model: str, threads: int = 1) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(model, threads)
         for batch in parts:
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 21):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
                 ids = code.encode(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(code.check(texts, ids))], ["doc_id", "ids", "parity"])
 
@@ -242,7 +242,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(model)
         for batch in parts:
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 21):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
                 ids = code.encode(texts)
                 back = [code.decode_bytes(a) == b.replace(MARK, " ").encode("utf-8", "surrogatepass") for a, b in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(code.check(texts, ids)), pa.array(back)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])

@@ -147,7 +147,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> No
         end = np.array([end_id], np.uint32)
         seq, before, held, ids, arrays = 0, 0, 0, [], []
         for batch in parts:
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
                 for doc_id, raw in zip(some, enc.encode(texts), strict=True):
                     ids.append(doc_id)
                     arrays.append(np.append(raw, end))

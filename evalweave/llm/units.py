@@ -10,9 +10,11 @@ generations, and live as long as the Python worker.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,6 +25,7 @@ from evalweave.llm.common import segment_hashes
 # Encoders of a worker, by file.
 _encoders: dict[str, UnitEncoder] = {}
 _PLAIN = re.compile(r" ?[\n!-~¡-ɏ]+").fullmatch
+_SIGNS = b'.,;:!?|*$%&#)"'
 # Bytes that begin no white space in UTF-8, nor what Python or a pattern may take for it.
 _SOLID = np.ones(256, bool)
 _SOLID[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -77,7 +80,7 @@ class Memo:
 class UnitEncoder:
     """Ids of texts as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, half: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, half: int = 600_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,7 +92,7 @@ class UnitEncoder:
         self.kind, pattern = unit_kind(spec)
         self.pieces = regex.compile(pattern).findall if pattern else None
         self.model, self.letters, self.longest = self.tokenizer.model, _byte_letters(), longest
-        self.units, self.tokens = Memo(half), Memo(half // 2)
+        self.units, self.signs = Memo(half), {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -97,41 +100,80 @@ class UnitEncoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return out
 
-    def _plain(self, unit: str) -> bytes:
+    def _word(self, core: bytes) -> bytes:
+        """Ids of one pre-token, straight from the BPE model."""
+        if core.isalpha():
+            letters = core.decode()
+        elif core[0] == 0x20 and core[1:].isalpha():
+            letters = self.letters[0x20] + core[1:].decode()
+        else:
+            letters = core.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _sign(self, sign: bytes) -> bytes:
+        ids = self.signs.get(sign)
+        if ids is None:
+            ids = self._whole([sign.decode()])[0]
+            if len(sign) <= 8:
+                self.signs[sign] = ids
+        return ids
+
+    def _new(self, unit: bytes) -> bytes | None:
+        """Ids of a unit of plain letters and signs; None if the library has to see it whole."""
+        core = unit.rstrip(_SIGNS)
+        word = core[1:] if core[:1] == b" " else core
+        if word.isalpha() or (word and (text := word.decode("utf-8", "surrogatepass")).isalpha() and _PLAIN(text)):
+            if self.kind == "dropped":
+                core = word.decode().lower().encode()
+            ids = None if core == unit else self.units.get(core)
+            if ids is None:
+                ids = self._word(core)
+                if core != unit:
+                    self.units.put(core, ids)
+            return ids + self._sign(unit[len(unit.rstrip(_SIGNS)) :]) if unit[-1] in _SIGNS else ids
+        text = unit.decode("utf-8", "surrogatepass")
+        if not _PLAIN(text):
+            return None
         out = []
-        for p in self.pieces(unit if self.kind == "attached" else unit.lower()):
-            ids = self.tokens.get(p)
+        for p in self.pieces(text if self.kind == "attached" else text.lower()):
+            raw = p.encode()
+            ids = self.units.get(raw)
             if ids is None:
-                word = p.encode().decode("latin-1").translate(self.letters)
-                ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-                if len(p) <= self.longest:
-                    self.tokens.put(p, ids)
+                ids = self._word(raw)
+                self.units.put(raw, ids)
             out.append(ids)
         return b"".join(out)
 
     def _look(self, units: list[bytes]) -> list[bytes]:
-        out, odd = [], []
-        for i, u in enumerate(units):
-            ids = self.units.get(u)
+        memo = self.units
+        out, odd = list(map(memo.new.get, units)), []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            u = units[i]
+            ids = memo.get(u)
             if ids is None:
-                text = u.decode("utf-8", "surrogatepass")
-                if len(u) <= self.longest and _PLAIN(text):
-                    ids = self._plain(text)
-                    self.units.put(u, ids)
+                ids = self._new(u) if len(u) <= self.longest else None
+                if ids is None:
+                    odd.append(i)
                 else:
-                    odd.append((i, text))
-            out.append(ids)
-        for (i, text), ids in zip(odd, self._whole([text for _, text in odd]), strict=True):
+                    memo.put(u, ids)
+            out[i] = ids
+        for i, ids in zip(odd, self._whole([units[i].decode("utf-8", "surrogatepass") for i in odd]), strict=True):
             out[i] = ids
             if len(units[i]) <= self.longest:
-                self.units.put(units[i], ids)
+                memo.put(units[i], ids)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         if self.kind == "whole":
             return [np.frombuffer(x, "<u4") for x in self._whole(texts)]
-        return by_units([t.encode("utf-8", "surrogatepass") for t in texts], _before_words, self._look)
+        collecting = gc.isenabled()
+        gc.disable()  # tokens come and go by the million, none in a cycle
+        try:
+            return by_units([t.encode("utf-8", "surrogatepass") for t in texts], _before_words, self._look)
+        finally:
+            if collecting:
+                gc.enable()
 
 
 def _before_words(buf: np.ndarray) -> np.ndarray:
@@ -153,7 +195,10 @@ def by_units(raw: list[bytes], cuts: Callable[[np.ndarray], np.ndarray], look: C
     cut[begins[:-1][begins[:-1] < len(buf)]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(buf))
-    _, where, which = np.unique(segment_hashes(buf, starts), return_index=True, return_inverse=True)
+    # hashed in slices, since that takes tens of bytes for each byte
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(buf), 1 << 20)), len(starts)))
+    hashes = [segment_hashes(buf[: ends[b - 1]], starts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    _, where, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     found = look([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
     sizes = np.array([len(x) >> 2 for x in found])
     flat = np.frombuffer(b"".join(found), "<u4")
