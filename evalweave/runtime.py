@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch, where the session has Spark's defaults: texts may be long, and a worker's memory follows its batches.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "16m")}
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package's sources to the session once, so that executors without a checkout can import it."""
     context = spark.sparkContext
+    for name, (default, value) in BATCH.items():
+        if spark.conf.get(name, None) in (default, None):
+            spark.conf.set(name, value)
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
