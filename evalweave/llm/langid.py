@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import crc_fold, texts_of
+from evalweave.llm.units import forget
 
 _SPACE = 1
 _letters: list[np.ndarray] = []
@@ -97,6 +98,7 @@ def learn(labelled: DataFrame, most: int = 300, per_language: int = 3000) -> Pro
     sample = rows.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             by: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -121,6 +123,7 @@ def predict(texts: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred and score of each (doc_id, text)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             found = [profiles.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evalweave.llm.common import stage, texts_of
+from evalweave.llm.units import forget
 
 WIDTH = 64
 
@@ -151,6 +152,7 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a grey map) of every text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             size, n, media, ids = 0, [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -177,6 +179,7 @@ def tiles(images: DataFrame, side: int = 32) -> DataFrame:
     """doc_id, height, width, tile (NPY), dhash and error of each (doc_id, media)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         schema = pa.schema([("doc_id", pa.int64()), ("height", pa.int64()), ("width", pa.int64()), ("tile", pa.binary()), ("dhash", pa.string()), ("error", pa.string())])
         for batch in parts:
             rows = []
@@ -196,6 +199,7 @@ def digests(images: DataFrame) -> DataFrame:
     """Digests of what the stored images decode to, and their features: difference hash and digest of the tile."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for data in batch.column(2).to_pylist():

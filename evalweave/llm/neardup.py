@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash, without
 from evalweave.llm.components import connected_components
+from evalweave.llm.units import forget
 
 BINS = 4096  # samples of a sketch
 BITS = 2048  # of a sketch
@@ -105,6 +106,7 @@ def signatures(texts: DataFrame, words: int, hasher: MinHasher) -> DataFrame:
     """doc_id, n, digest (d1, d2), bands and sketch of each text; empty sets have no bands."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in parts:
             n, digest, mins, sketches, some = [], [], [], [], []
             for i, h in enumerate(hashed_words(part.column(1).to_pylist(), lower=True)):
@@ -129,6 +131,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """doc_id and the whole shingle set of each text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in parts:
             ids, sets, size = [], [], 0
             for i, h in zip(part.column(0).to_pylist(), hashed_words(part.column(1).to_pylist(), lower=True), strict=True):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from evalweave.llm.common import crc_fold, hashed_words, texts_of
 from evalweave.llm.toxicity import training_rows
+from evalweave.llm.units import forget
 
 STATISTICS = ["log_words", "word_length", "upper", "digits", "stops", "signs", "pipes", "bangs", "wide", "line_length", "line_repeats", "distinct", "top_word", "sign_words", "pair_repeats", "run"]
 _GROUPS = np.zeros((256, 7))
@@ -53,6 +54,7 @@ def measured(texts: DataFrame, *more: str) -> DataFrame:
     """The statistics of each text as columns, after the columns named."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             strings = batch.column(0).to_pylist()
             rows = np.array([statistics(t, h) for t, h in zip(strings, hashed_words([t or "" for t in strings], lower=True), strict=True)]).reshape(-1, len(STATISTICS))

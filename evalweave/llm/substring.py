@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash, without
+from evalweave.llm.units import forget
 
 GRAM = 16
 _KEY = ["fp", "ctx", "n"]
@@ -77,6 +78,7 @@ def fingerprints(texts: DataFrame, window: int) -> DataFrame:
     """doc_id, n_words, sha256 of the words joined by spaces, and the entries of each text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             texts_ = batch.column(1).to_pylist()
             n, sha, sizes, cols = [], [], [0], []
@@ -96,6 +98,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     """doc_id, at, w1, w2 of every window that lies in a listed stretch, or has the same words as one that does."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             spans = batch.column(2).to_pylist()
             for i, h in enumerate(hashed_words(batch.column(1).to_pylist())):
@@ -185,6 +188,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept text of documents with marks."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_words": [], "n_removed": [], "kept": []}
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import _BYTE, batches, crc_fold, mix, only, segment_hashes, stage, texts_of, windows_hash
+from evalweave.llm.units import forget
 from evalweave.runtime import ship
 
 _WORD = np.zeros(256, bool)
@@ -184,6 +185,7 @@ def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: f
     """
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             least = []
             for words in hashed_terms(batch.column(0).to_pylist()):
@@ -193,6 +195,7 @@ def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: f
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["text", "y", "a", "b"])
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in parts:
             y = batch.column(1).to_pylist()
             terms, sums = [], []
@@ -261,6 +264,7 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the significant passages (first and last word, excess) of each text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("excess", pa.float64())]))
         sieve = model.sieve()
         for batch in parts:
@@ -291,6 +295,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2,
     at = docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sieve = model.sieve()
         for batch in parts:
             f = [model.features(model.found(t, sieve), len(t)) for t in hashed_terms(batch.column(at).to_pylist())]

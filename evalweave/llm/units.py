@@ -214,3 +214,8 @@ def encoder(path: str) -> UnitEncoder:
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drop this worker's encoders and their memos; operators that encode nothing call it before they work."""
+    _encoders.clear()
