@@ -73,6 +73,30 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_language, op2_near_duplicates, op3_sentencepiece, op4_simple8b, op5_substring, op6_packing, op7_toxicity, op8_exact_duplicates, op9_quality, op10_media)}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 1, 2))) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 85 * (na.n + nb.n - x)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, label) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node WHERE r.label < e.b),
+c AS (SELECT node, min(label) AS label FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.label, d.doc_id) AS component_id, coalesce(c.label, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w[p] AS word, p, CASE WHEN p + 49 <= len(w) THEN array_to_string(w[p : p + 49], ' ') END AS k FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)),
+d AS (SELECT doc_id, word, p, CASE WHEN k IS NOT NULL THEN (min(doc_id) OVER (PARTITION BY k) < doc_id)::INT ELSE 0 END AS dup FROM i),
+c AS (SELECT doc_id, word, p, max(dup) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM d),
+g AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (gone = 0), '')) AS kept_sha256 FROM c GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS k FROM documents
@@ -84,4 +108,4 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_duplicates": OP8_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op5_substring": OP5_SQL, "op8_exact_duplicates": OP8_SQL}
