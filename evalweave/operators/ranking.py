@@ -15,6 +15,25 @@ def hash_order(key: str, seed: int = 0) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Adds the place, from 0, of each row in one order over all rows.
+
+    Rows are dealt to ``parts`` ranges and numbered within each; only the ranges' counts
+    come to the driver. ``order`` should tell all rows apart.
+    """
+    parts = parts or max(2, rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
+    at, before = 0, {}
+    for r in sorted(dealt.groupBy("__p").count().collect(), key=lambda r: r["__p"]):
+        before[r["__p"]] = at
+        at += r["count"]
+    if not before:
+        return rows.withColumn(name, F.lit(None).cast("long"))
+    start = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
+    return dealt.withColumn(name, (start[F.col("__p")] + place).cast("long")).drop("__p")
+
+
 def capped(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group; the optimiser cuts groups before the shuffle."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= most).drop("__n")

@@ -32,7 +32,7 @@ def w08_m12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     share = docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.avg("quality").alias("a"))
     rows = docs.join(share, "source", "left").select("doc_id", (1 - F.coalesce("a", F.lit(0.5))).alias("difficulty"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("difficulty", "doc_id")).cast("long"))
+    return ranking.numbered(rows, ["difficulty", "doc_id"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("SELECT event_id, least(3, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // greatest(1, count(*) OVER (PARTITION BY user_id) // 4))::INT AS part FROM events")
@@ -94,7 +94,7 @@ FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER
 """)
 def s14_st6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    rows = docs.withColumns({"p": F.row_number().over(Window.orderBy("doc_id")) - 1}).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
+    rows = ranking.numbered(docs, ["doc_id"], "p").crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))
     return rows.select("doc_id", *(readers.shard(F.col("p"), F.col("n"), 2, 7, k).alias(k) for k in ("strided", "contiguous", "balanced")))
 
 

@@ -268,6 +268,12 @@ def test_splits(spark):
     assert list(ranking.quota_stream(iter([("a", 1), ("b", 2), ("a", 3), ("b", 4), ("c", 5)]), {"a": 1, "b": 2})) == [("a", 1), ("b", 2), ("b", 4)]
 
 
+def test_numbered(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), "id")
+    assert all(r.place == r.k for r in ranking.numbered(rows, ["k"], "place", 7).collect())
+    assert ranking.numbered(rows.limit(0), ["k"], "place").count() == 0
+
+
 def test_chunks_match_a_loop(spark):
     rng = np.random.default_rng(2)
     made = [(g, float(i), float(i + 1), rng.normal(size=4).tolist()) for g in range(3) for i in range(40)] + [(0, 99.0, 100.0, None)]
