@@ -65,6 +65,14 @@ def r03_context_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.capped(hit, ["user_id"], [F.col("value").desc(), F.col("event_id")], 3).select("user_id", "event_id")
 
 
+@query("""
+SELECT item_id, round(len(list_intersect(['the', 'and', 'of', 'to'], list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)))) / 4.0::DOUBLE, 6) AS score FROM benchmark WHERE item_id >= 5 ORDER BY score DESC, item_id LIMIT 10
+""")
+def r02_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = retrieval.hybrid(table(spark, sf_dir, "benchmark"), "The and of to", k=10, mode="text", rules={"item_id": {"ge": 5}}, key="item_id")
+    return rows.select("item_id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT list_sort(list(vec_id)) AS frames FROM (SELECT vec_id FROM {_V} WHERE label = 4 ORDER BY {_l2('v', _Q)}, vec_id LIMIT 5)")
 def r04_frame_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "embeddings").withColumn("frame", F.concat_ws("_", F.lit("video"), F.col("label").cast("string"), F.col("vec_id").cast("string")))

@@ -341,3 +341,25 @@ def test_plugins(spark):
         plugins.get("judge", "none")
     verdicts = rows.select(plugins.get("judge", "overlap")(F.lit("q"), F.col("t"), F.when(F.col("k") == 1, "a")).alias("v")).collect()
     assert {r.v for r in verdicts} == {True, None}
+
+
+def test_pairs(spark):
+    from evalweave.operators import pairs
+
+    rows = spark.createDataFrame([(1, "It is a red car on the road", "It is a red car on the road"), (2, "a b c d e f", "I cannot see the video"), (3, "a b c d e f", "no"), (4, "one two three four five six", "one two three four five ten"), (5, "Alice met Bob in 1999 there", "In 1999 Bob and Alice had never been seen"), (6, "one two three four", "quite another answer to the question")], "k int, chosen string, rejected string")
+    got = {r.k: r.drop_reason for r in pairs.screened(rows).collect()}
+    assert got == {1: "same", 2: "abstains", 3: "short", 4: "alike", 5: "keys", 6: None}
+    many = spark.range(200).select("id", (F.col("id") % 3).alias("axis"), F.lit(None).cast("double").alias("margin"))
+    made = pairs.assembled(many.unionByName(many), "id", "axis", "margin", 1.0, 20, 0.1)
+    assert made.count() == 60
+    assert made.where("split = 'val'").count() == 6
+
+
+def test_hybrid_modes(spark):
+    docs = spark.createDataFrame([(1, "red car", [1.0, 0.0]), (2, "blue car", [0.0, 1.0]), (3, "", [0.0, 0.0])], "vec_id int, text string, embedding array<double>")
+    order = lambda **k: [r.vec_id for r in retrieval.hybrid(docs, **k).collect()]
+    assert order(words="blue car", mode="text") == [2, 1, 3]
+    assert order(query=[1.0, 0.1], mode="vector")[0] == 1
+    assert order(words="car", query=[0.0, 1.0], mode="semantic")[0] == 2
+    with pytest.raises(ValueError, match="unknown mode"):
+        retrieval.hybrid(docs, mode="other")
