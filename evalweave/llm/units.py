@@ -72,9 +72,13 @@ class Memo:
         return found
 
     def put(self, key: str, value: bytes) -> None:
+        self.turn()
+        self.new[key] = value
+
+    def turn(self) -> None:
+        """Begin a new half if this one is full."""
         if len(self.new) >= self.half:
             self.new, self.old = {}, self.new
-        self.new[key] = value
 
 
 class UnitEncoder:
@@ -129,7 +133,7 @@ class UnitEncoder:
             if ids is None:
                 ids = self._word(core)
                 if core != unit:
-                    self.units.put(core, ids)
+                    self.units.new[core] = ids
             return ids + self._sign(unit[len(unit.rstrip(_SIGNS)) :]) if unit[-1] in _SIGNS else ids
         text = unit.decode("utf-8", "surrogatepass")
         if not _PLAIN(text):
@@ -140,27 +144,36 @@ class UnitEncoder:
             ids = self.units.get(raw)
             if ids is None:
                 ids = self._word(raw)
-                self.units.put(raw, ids)
+                self.units.new[raw] = ids
             out.append(ids)
         return b"".join(out)
 
     def _look(self, units: list[bytes]) -> list[bytes]:
-        memo = self.units
-        out, odd = list(map(memo.new.get, units)), []
+        """Ids of distinct units. Plain words, the most of all new units, are handled in the loop itself."""
+        memo, tokenize, longest = self.units, self.model.tokenize, self.longest
+        memo.turn()
+        new, old = memo.new, memo.old.get
+        out, odd = list(map(new.get, units)), []
+        space = self.letters[0x20] if self.kind == "attached" else None
         for i in [i for i, ids in enumerate(out) if ids is None]:
             u = units[i]
-            ids = memo.get(u)
+            ids = old(u)
             if ids is None:
-                ids = self._new(u) if len(u) <= self.longest else None
-                if ids is None:
+                if len(u) > longest:
                     odd.append(i)
+                    continue
+                if space and u[0] == 0x20 and u[1:].isalpha():
+                    ids = array("I", [t.id for t in tokenize(space + u[1:].decode())]).tobytes()
                 else:
-                    memo.put(u, ids)
-            out[i] = ids
+                    ids = self._new(u)
+                    if ids is None:
+                        odd.append(i)
+                        continue
+            new[u] = out[i] = ids
         for i, ids in zip(odd, self._whole([units[i].decode("utf-8", "surrogatepass") for i in odd]), strict=True):
             out[i] = ids
-            if len(units[i]) <= self.longest:
-                memo.put(units[i], ids)
+            if len(units[i]) <= longest:
+                new[units[i]] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
