@@ -128,8 +128,6 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
             break
         rules |= grown
         step = np.zeros(len(y))
-        values = {r.parts: None for r in grown}
-        del values
         for rows_, value in leaves:
             step[rows_] = value
         # rows outside the half follow the tree through its rules' splits
@@ -208,6 +206,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int
     """doc_id, held_out, score, predicted of every row; fitted on about ``most`` labelled rows."""
     out = crc_fold(fold) == held
     rows = measured(training_rows(docs, labels, "quality", out, most), "y").toPandas()
+    rows = rows.sort_values([*STATISTICS, "y"])  # so that a fit can be repeated
     model = learn(rows[STATISTICS].to_numpy(float), rows["y"].to_numpy(float))
     found = measured(texts_of(docs), "doc_id").withColumn("score", model.column())
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *STATISTICS)

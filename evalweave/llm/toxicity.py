@@ -179,8 +179,8 @@ def _lambda(scores: np.ndarray, chance: np.ndarray) -> float:
 def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: float = 0.05, most_terms: int = 20_000) -> Model:
     """A model from staged (text, y).
 
-    Of texts that begin a near-copy family (equal least hash of three-word windows, twice)
-    one is counted. Counts are summed before the shuffle; a term needs a clear z-score
+    Of texts with an equal least hash of three-word windows, for either of two hashes, one
+    is counted: families of copies would make all their words look toxic or clean. Counts are summed before the shuffle; a term needs a clear z-score
     over words and a fair one over texts, and only such terms reach the driver.
     """
 
@@ -215,8 +215,9 @@ def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: f
     flat = np.array([math.log(max(share, 1e-13) / max(1 - share, 1e-13)), 0, 0, 0])
     if len(kinds) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), gap, 1.0, 0.0, flat)
-    single = rows.mapInArrow(sign, "text string, y int, a long, b long").dropDuplicates(["y", "a"]).dropDuplicates(["y", "b"])
-    single, _ = stage(single.select("text", "y"), "single")
+    # of equal hashes always the same text, so that a fit can be repeated
+    signed = rows.mapInArrow(sign, "text string, y int, a long, b long").groupBy("y", "a").agg(F.min(F.struct("b", "text")).alias("r"))
+    single, _ = stage(signed.groupBy("y", "r.b").agg(F.min("r.text").alias("text")).select("text", "y"), "single")
     counts, _ = stage(single.mapInArrow(count, "term long, n1 long, n0 long, d1 long, d0 long").where("term <> 0").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0"))), "terms")
     texts = {r.y: r[1] for r in single.groupBy("y").count().collect()}
 
