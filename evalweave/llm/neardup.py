@@ -22,7 +22,6 @@ doc_id are one node with the links of either.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

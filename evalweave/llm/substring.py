@@ -16,8 +16,8 @@ and shared passages meet as one entry each, so hot passages are aggregated befor
 shuffle, and joins on hot keys have plain exchanges that adaptive execution splits.
 
 Edge cases: null, empty and short texts have no window and lose nothing; rows without
-doc_id are neither compared nor cut; rows that repeat a doc_id count as one document's
-parts, so neither is a source for the other.
+doc_id are neither compared nor cut; rows that repeat a doc_id are one document, none a
+source for the other, and stretches found in one are cut at their places from each.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ class FingerprintIndex:
         whole = batch.join(shared, _KEY).where("doc_id > first").select("doc_id", "at", "n")
 
         several = self._stage(known.groupBy("fp").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("new").alias("any")).where("c > 1 AND lo < hi AND any").select("fp"), "fp-several")
-        open_ = known.join(several, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"), F.bool_or("new").alias("new"))
+        open_ = known.join(several, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
         open_ = self._stage(open_, "fp-open")
         read = only(texts, open_).join(open_, "doc_id").select("doc_id", "text", "spans")
         windows = self._stage(_windows(read, window), "windows")
