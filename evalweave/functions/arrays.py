@@ -95,3 +95,9 @@ def by_keyword(name: Column, table: dict[str, str], default: str = "other") -> C
     for key, value in reversed(table.items()):
         out = F.when(F.contains(F.lower(name), F.lit(key.lower())), value).otherwise(out)
     return out
+
+
+def sorted_by_suffix(names: Column) -> Column:
+    """Distinct names by the number that each ends with."""
+    keyed = F.transform(F.array_distinct(names), lambda n: F.struct(F.regexp_extract(n, r"(\d+)$", 1).try_cast("long").alias("k"), n.alias("n")))
+    return F.transform(F.array_sort(keyed), lambda x: x["n"])

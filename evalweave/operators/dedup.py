@@ -72,3 +72,8 @@ def merge_lists(rows: DataFrame, key: str, order: str, values: str) -> DataFrame
 def merge_registry(rows: DataFrame, name: str, seen: str, traits: str) -> DataFrame:
     """Objects of one name, whatever its case: first seen, and all traits once, sorted."""
     return rows.groupBy(F.lower(name).alias(name)).agg(F.min(seen).alias(seen), F.array_sort(F.array_distinct(F.flatten(F.collect_list(traits)))).alias(traits))
+
+
+def merge_new(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """The table and those incoming rows whose key it doesn't have yet."""
+    return table.unionByName(incoming.join(table.select(key).distinct(), key, "left_anti"))

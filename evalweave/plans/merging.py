@@ -122,3 +122,24 @@ def w17_running_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t1_p03_first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang"))
     return table(spark, sf_dir, "documents").select("doc_id", first_nonempty(lang, F.col("source")).alias("name"))
+
+
+@query("SELECT user_id, list_transform(list_sort(list_distinct(list(event_id % 40))), lambda x: 'frame_' || x::VARCHAR) AS frames FROM events GROUP BY 1")
+def w21_sorted_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evalweave.functions.arrays import sorted_by_suffix
+
+    rows = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("frame_"), (F.col("event_id") % 40).cast("string")).alias("frame"))
+    return rows.groupBy("user_id").agg(sorted_by_suffix(F.collect_list("frame")).alias("frames"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'kept' ELSE 'new' END AS origin FROM supplier")
+def u07_skip_if_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey")
+    there = rows.where("s_suppkey % 3 = 0").withColumn("origin", F.lit("kept"))
+    return dedup.merge_new(there, rows.withColumn("origin", F.lit("new")), "s_suppkey")
+
+
+@query("SELECT '| r_regionkey | r_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || r_regionkey::VARCHAR || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS report FROM region")
+def k06_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = writers.markdown(table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))
+    return spark.createDataFrame([(told,)], "report string")
