@@ -33,9 +33,10 @@ def _split(active: DataFrame, width: int) -> tuple[DataFrame, str]:
     # substring of a binary column counts bytes
     keyed = active.select("doc_id", "tag", "n_cp", "sha", F.col("gid").alias("was"), F.substring(rest, 1, width).alias("digit"), (F.length(rest) <= width).alias("ended"), F.expr(f"substring(rest, {width + 1}, {_END})").alias("tail"))
     key = ["was", "digit", "ended"]
-    # written first: then both sides of the join are plain exchanges, whose hot partitions adaptive execution splits
+    # written first: then both sides of the join are plain exchanges, whose hot partitions adaptive execution splits;
+    # merged at any size, as the groups grow with the input
     groups, path = stage(keyed.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag")).alias("gid")).where("n > 1").drop("n"), "radix-groups")
-    joined = keyed.join(groups, key, "left")
+    joined = keyed.join(groups.hint("merge"), key, "left")
     alone = F.col("gid").isNull()
     done = alone | F.col("ended")
     return joined.select("doc_id", "tag", "n_cp", "sha", "gid", done.alias("done"), F.when(~done, F.col("tail")).alias("rest")), path
@@ -69,7 +70,7 @@ def exact_duplicates(docs: DataFrame, first_width: int = 64, factor: int = 8) ->
     alone = ended.where("gid IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     grouped = ended.where("gid IS NOT NULL")
     best, best_path = stage(grouped.groupBy("gid").agg(F.count("*").alias("group_size"), F.expr("max_by(doc_id, struct(n_cp, -doc_id))").alias("keep_id")), "radix-kept")
-    members = grouped.join(best, "gid").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    members = grouped.join(best.hint("merge"), "gid").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     nameless = facts.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     out, _ = stage(alone.unionByName(members).unionByName(nameless), "exact")
     discard(docs.sparkSession, best_path, *used)
