@@ -78,7 +78,7 @@ def without(rows: DataFrame, ids: DataFrame, slots: int = 1 << 20) -> DataFrame:
     keyed = rows.withColumn("__slot", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots)).cast("int"))
     wanted = F.broadcast(ids.select(slot.alias("__slot")).distinct())
     clear = keyed.join(wanted, "__slot", "left_anti")
-    unclear = keyed.join(wanted, "__slot", "left_semi").join(ids, keyed["doc_id"].cast("long") == ids["doc_id"], "left_anti")
+    unclear = keyed.join(wanted, "__slot", "left_semi").join(ids.hint("merge"), keyed["doc_id"].cast("long") == ids["doc_id"], "left_anti")
     return clear.unionByName(unclear).drop("__slot")
 
 
@@ -171,9 +171,10 @@ def only(texts: DataFrame, ids: DataFrame, slots: int = 1 << 20) -> DataFrame:
     """The texts whose doc_id is in ``ids``.
 
     A first, coarse filter drops most other texts before the shuffle: the distinct hash
-    slots of the ids, at most ``slots`` of them whatever the corpus, are broadcast.
+    slots of the ids, at most ``slots`` of them whatever the corpus, are broadcast. The
+    ids themselves grow with the corpus and are merged.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
     wanted = ids.select(slot.alias("slot")).distinct()
     near = texts.withColumn("slot", slot).join(F.broadcast(wanted), "slot", "left_semi").drop("slot")
-    return near.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return near.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")

@@ -166,15 +166,15 @@ class FingerprintIndex:
             known = known.unionByName(met).groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("last").alias("last"), F.bool_and("new").alias("new"))
             known = self._stage(known, "fp-known")
         shared = self._stage(known.where("doc_id < last").select(*_KEY, F.col("doc_id").alias("first")), "fp-shared")
-        whole = batch.join(shared, _KEY).where("doc_id > first").select("doc_id", "at", "n")
+        whole = batch.join(shared.hint("merge"), _KEY).where("doc_id > first").select("doc_id", "at", "n")
 
         several = self._stage(known.groupBy("fp").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("new").alias("any")).where("c > 1 AND lo < hi AND any").select("fp"), "fp-several")
-        open_ = known.join(several, "fp").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+        open_ = known.join(several.hint("merge"), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
         open_ = self._stage(open_, "fp-open")
-        read = only(texts, open_).join(open_, "doc_id").select("doc_id", "text", "spans")
+        read = only(texts, open_).join(open_.hint("merge"), "doc_id").select("doc_id", "text", "spans")
         windows = self._stage(_windows(read, window), "windows")
         first = self._stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows-first")
-        part = windows.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
+        part = windows.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
         marks = self._stage(whole.unionByName(part), "marks")
         if past is not None:
             # marks of documents already in the log were given with their own batch
@@ -226,7 +226,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tu
         found = index.add_batch(flat.where(inside & upto), texts.where(upto), window)
         marks = found if marks is None else marks.unionByName(found)
     spans, spans_path = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marked")
-    cut = _cut(only(texts, spans).join(spans, "doc_id").select("doc_id", "text", "marks"), window)
+    cut = _cut(only(texts, spans).join(spans.hint("merge"), "doc_id").select("doc_id", "text", "marks"), window)
     cut, _ = stage(cut, "cut")
     rest, _ = stage(facts.select("doc_id", "n_words", "sha"), "facts")
     index.clear(log=True)
@@ -251,5 +251,5 @@ def drop_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFr
     cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("__of"), "kept").dropDuplicates(["__of"])
     ids = cut.select(F.col("__of").alias("doc_id"))
     new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    changed = only(docs, ids).join(cut, F.col("doc_id") == F.col("__of"))
+    changed = only(docs, ids).join(cut.hint("merge"), F.col("doc_id") == F.col("__of"))
     return without(docs, ids).unionByName(changed.withColumns(new).select(*docs.columns))
