@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -72,10 +73,24 @@ def alnum_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z0-9]+)"), 1), F.lower)
 
 
+def _bound(f: Callable[..., Column], *values: Column) -> Column:
+    """``f`` of the values, each computed once: inside a lambda Spark computes an expression anew for every item."""
+    names = [f"v{i}" for i in range(len(values))]
+    one = F.array(F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True))))
+    return F.get(F.transform(one, lambda x: f(*(x[n] for n in names))), F.lit(0))
+
+
 def lcs_length(a: Column, b: Column, most: int = 2_000_000, head: int = 1000) -> Column:
     """Length of the longest common subsequence of two arrays; over ``most`` cells both are cut to ``head`` items."""
+    return _bound(lambda x, y: _bound(_lcs, *_shortened(x, y, most, head)), a, b)
+
+
+def _shortened(a: Column, b: Column, most: int, head: int) -> list[Column]:
     long = F.size(a).cast("long") * F.size(b) > most
-    a, b = (F.when(long, F.slice(x, 1, head)).otherwise(x) for x in (a, b))
+    return [F.when(long, F.slice(x, 1, head)).otherwise(x) for x in (a, b)]
+
+
+def _lcs(a: Column, b: Column) -> Column:
     start = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
 
     def row(before: Column, item: Column) -> Column:
@@ -91,10 +106,12 @@ def lcs_length(a: Column, b: Column, most: int = 2_000_000, head: int = 1000) ->
 
 def rouge_l(hypothesis: Column, reference: Column) -> Column:
     """F1 of the longest common subsequence of tokens; 0 if either is empty."""
-    h, r = alnum_tokens(hypothesis), alnum_tokens(reference)
-    n = lcs_length(h, r).cast("double")
-    p, q = F.try_divide(n, F.size(h)), F.try_divide(n, F.size(r))
-    return F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))
+
+    def f1(h: Column, r: Column, n: Column) -> Column:
+        p, q = F.try_divide(n, F.size(h)), F.try_divide(n, F.size(r))
+        return F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))
+
+    return _bound(lambda h, r: _bound(f1, h, r, lcs_length(h, r).cast("double")), alnum_tokens(hypothesis), alnum_tokens(reference))
 
 
 def salient_tokens(text: Column) -> Column:
@@ -318,12 +335,15 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def _clipped(a: Column, b: Column) -> Column:
     """Size of the multiset intersection."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
+    return _bound(lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g)))), a, b)
 
 
 def bleu(prediction: Column, reference: Column, n: int = 4, epsilon: float = 0.1) -> Column:
     """Sentence BLEU up to ``n``-grams of blank-separated lower-case words; a zero count becomes ``epsilon``."""
-    p, r = words(F.lower(prediction)), words(F.lower(reference))
+    return _bound(lambda p, r: _bleu(p, r, n, epsilon), words(F.lower(prediction)), words(F.lower(reference)))
+
+
+def _bleu(p: Column, r: Column, n: int, epsilon: float) -> Column:
     total = F.lit(0.0)
     for k in range(1, n + 1):
         grams = ngrams(p, k)
@@ -336,9 +356,10 @@ def bleu(prediction: Column, reference: Column, n: int = 4, epsilon: float = 0.1
 
 def rouge_n(prediction: Column, reference: Column, n: int = 1) -> Column:
     """F1 of shared n-grams of unstemmed tokens."""
-    p, r = ngrams(alnum_tokens(prediction), n), ngrams(alnum_tokens(reference), n)
-    shared = _clipped(p, r).cast("double")
-    return F.coalesce(F.try_divide(2 * shared, F.size(p) + F.size(r)), F.lit(0.0))
+    def f1(p: Column, r: Column) -> Column:
+        return F.coalesce(F.try_divide(2 * _clipped(p, r).cast("double"), F.size(p) + F.size(r)), F.lit(0.0))
+
+    return _bound(lambda p, r: _bound(f1, ngrams(p, n), ngrams(r, n)), alnum_tokens(prediction), alnum_tokens(reference))
 
 
 def experiment_tag(*parts: tuple[Column, Column | str]) -> Column:

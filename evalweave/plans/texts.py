@@ -29,8 +29,8 @@ def f03_alnum_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def f04_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    other = b.select((F.col("item_id") + 1).alias("item_id"), F.concat(F.substring("text", 1, 80), F.lit(" end")).alias("other"))
-    return b.join(other, "item_id").select("item_id", F.round(text.rouge_l(F.col("other"), F.substring("text", 1, 200)), 6).alias("rouge"))
+    other = b.select((F.col("item_id") + 1).alias("item_id"), F.concat("text", F.lit(" end")).alias("other"))
+    return b.join(other, "item_id").select("item_id", F.round(text.rouge_l(F.col("other"), F.col("text")), 6).alias("rouge"))
 
 
 _KEYS = "list_distinct(list_concat(regexp_extract_all({t}, '\\b\\d+(?:\\.\\d+)?(?:e-?\\d+)?\\b'), list_transform(regexp_extract_all({t}, '\\b[A-Z][A-Za-z0-9]{{2,}}\\b'), lambda x: lower(x))))"
@@ -136,8 +136,10 @@ def f22_exact_and_token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def f23_bleu_and_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    ref, hyp = F.substring("text", 1, 160), F.substring("text", 20, 160)
-    return b.select("item_id", *(F.round(text.bleu(hyp, ref, n), 6).alias(f"bleu_{n}") for n in (1, 2, 3, 4)), *(F.round(text.rouge_n(hyp, ref, n), 6).alias(f"rouge_{n}") for n in (1, 2)))
+    other = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("other"))
+    # an item without one before it is scored on an empty text
+    ref, hyp = F.col("text"), F.coalesce("other", F.lit(""))
+    return b.join(other, "item_id", "left").select("item_id", *(F.round(text.bleu(hyp, ref, n), 6).alias(f"bleu_{n}") for n in (1, 2, 3, 4)), *(F.round(text.rouge_n(hyp, ref, n), 6).alias(f"rouge_{n}") for n in (1, 2)))
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS told FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations) WHERE text <> '' GROUP BY 1")
