@@ -17,7 +17,8 @@ shuffle, and joins on hot keys have plain exchanges that adaptive execution spli
 
 Edge cases: null, empty and short texts have no window and lose nothing; rows without
 doc_id are neither compared nor cut; rows that repeat a doc_id are one document, none a
-source for the other, and stretches found in one are cut at their places from each.
+source for the other; stretches found in one are cut at their places from each one's
+own text.
 """
 
 from __future__ import annotations
@@ -105,8 +106,9 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
                 w1 = windows_hash(h, window)
                 listed = np.zeros(len(w1) + 1, np.int32)
                 for s in spans[i]:
-                    listed[s["at"]] += 1
-                    listed[s["at"] + s["n"]] -= 1
+                    # a shorter text of the same doc_id may end before the stretch
+                    listed[min(s["at"], len(w1))] += 1
+                    listed[min(s["at"] + s["n"], len(w1))] -= 1
                 at = np.flatnonzero(np.isin(w1, w1[np.cumsum(listed[:-1]) > 0]))
                 w2 = windows_hash(h, window, seed=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[i].as_py(), np.int64)), pa.array(at.astype(np.int32)), pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64))], ["doc_id", "at", "w1", "w2"])
@@ -184,6 +186,16 @@ class FingerprintIndex:
         return marks
 
 
+def _kept(text: str | None, marks: list[dict], window: int) -> tuple[list[bytes], int]:
+    """The words outside of marked windows, and the number of all words."""
+    words = words_of(text)
+    edge = np.zeros(len(words) + 1, np.int32)
+    for m in marks:
+        edge[min(m["at"], len(words))] += 1
+        edge[min(m["at"] + m["n"] + window - 1, len(words))] -= 1
+    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)], len(words)
+
+
 def _cut(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept text of documents with marks."""
 
@@ -192,26 +204,17 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
         for batch in parts:
             out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_words": [], "n_removed": [], "kept": []}
             for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text)
-                edge = np.zeros(len(words) + 1, np.int32)
-                for m in marks:
-                    edge[min(m["at"], len(words))] += 1
-                    edge[min(m["at"] + m["n"] + window - 1, len(words))] -= 1
-                keep = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                out["n_words"].append(len(words))
-                out["n_removed"].append(len(words) - len(keep))
-                out["kept"].append(b" ".join([words[i] for i in keep]).decode("utf-8", "surrogatepass"))
+                keep, n = _kept(text, marks, window)
+                out["n_words"].append(n)
+                out["n_removed"].append(n - len(keep))
+                out["kept"].append(b" ".join(keep).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
     return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """What stays of documents that lose words, and the facts of all.
-
-    Returns (doc_id, n_words, n_removed, kept text) of documents with a marked window, and
-    (doc_id, n_words, sha256 of all words) of every row.
-    """
+def _marked(docs: DataFrame, window: int, batches: int) -> tuple[DataFrame, DataFrame, str]:
+    """(doc_id, marks) of documents with a marked window; the facts of every row, and where these are staged."""
     spark = docs.sparkSession
     texts = texts_of(docs)
     facts, facts_path = stage(fingerprints(texts, window), "fingerprints")
@@ -225,12 +228,22 @@ def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tu
         upto = F.lit(True) if high is None else F.col("doc_id") <= high
         found = index.add_batch(flat.where(inside & upto), texts.where(upto), window)
         marks = found if marks is None else marks.unionByName(found)
-    spans, spans_path = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marked")
-    cut = _cut(only(texts, spans).join(spans.hint("merge"), "doc_id").select("doc_id", "text", "marks"), window)
+    spans, _ = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marked")
+    index.clear(log=True)
+    return spans, facts, facts_path
+
+
+def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+    """What stays of documents that lose words, and the facts of all.
+
+    Returns (doc_id, n_words, n_removed, kept text) of documents with a marked window, and
+    (doc_id, n_words, sha256 of all words) of every row.
+    """
+    spans, facts, facts_path = _marked(docs, window, batches)
+    cut = _cut(only(texts_of(docs), spans).join(spans.hint("merge"), "doc_id").select("doc_id", "text", "marks"), window)
     cut, _ = stage(cut, "cut")
     rest, _ = stage(facts.select("doc_id", "n_words", "sha"), "facts")
-    index.clear(log=True)
-    discard(spark, facts_path, spans_path)
+    discard(docs.sparkSession, facts_path)
     return cut, rest
 
 
@@ -247,9 +260,23 @@ def drop_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFr
 
     A column n_chars follows the new texts.
     """
-    cut, _ = repeated_passages(docs, window, batches)
-    cut = cut.where("n_removed > 0").select(F.col("doc_id").alias("__of"), "kept").dropDuplicates(["__of"])
-    ids = cut.select(F.col("__of").alias("doc_id"))
-    new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    changed = only(docs, ids).join(cut.hint("merge"), F.col("doc_id") == F.col("__of"))
-    return without(docs, ids).unionByName(changed.withColumns(new).select(*docs.columns))
+    spans, _, facts_path = _marked(docs, window, batches)
+    discard(docs.sparkSession, facts_path)
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        out = []
+        for text, some in zip(texts.to_pylist(), marks.to_pylist(), strict=True):
+            keep, n = _kept(text, some, window)
+            out.append(text if len(keep) == n else b" ".join(keep).decode("utf-8", "surrogatepass"))
+        return pa.array(out, pa.string())
+
+    # each row's own text is cut: rows that share a doc_id may differ in it
+    of = spans.select(F.col("doc_id").alias("__of"), F.col("marks").alias("__marks"))
+    found = only(docs, spans).join(of.hint("merge"), F.col("doc_id") == F.col("__of"))
+    changed = found.withColumn("__kept", cut(F.col("text").cast("string"), F.col("__marks")))
+    new = {"text": F.col("__kept")}
+    if "n_chars" in docs.columns:
+        same = F.col("__kept").eqNullSafe(F.col("text"))
+        new["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))
+    return without(docs, spans).unionByName(changed.withColumns(new).select(*docs.columns))
