@@ -11,7 +11,8 @@
    components; those get other centres, round by round, while that clearly lowers the number of
    pairs left across components. Then each of these
    pairs is compared once, by size and sketch inside the join's condition, and
-   confirmed likewise. So no link that the bands find is lost, and a group of near
+   confirmed likewise. A link that the bands find is lost only if its sketches differ by
+   seven standard deviations more than expected at the threshold, and a group of near
    copies costs some stars and not its square.
 
 Edge cases: lower-casing is ASCII only; a text with fewer words than a shingle is one
@@ -78,7 +79,7 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def odd_limit(n: str, threshold: float, sigmas: float = 5.0) -> str:
+def odd_limit(n: str, threshold: float, sigmas: float = 7.0) -> str:
     """SQL for the most set bits of the XOR of two sketches at the threshold; ``n`` is the sum of both sets' sizes.
 
     Of the union's bins each differs with chance 1 - J, all but exactly so where bins
