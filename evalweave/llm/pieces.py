@@ -2,7 +2,8 @@
 
 The model file is a protobuf message; the few fields needed are read here. From them
 the library's normaliser, space marker, merges or unigram scores, byte fallback and
-decoder are rebuilt. A SentencePiece processor checks the ids of every text.
+decoder are rebuilt. A SentencePiece processor checks the ids of every new unit but a lone
+space; while all agree, parity of whole texts is inferred, else whole texts are compared.
 
 Where no piece has a space marker after another character, tokens never reach over the
 gap before a marker, so texts are cut there first: each stretch of markers with the
