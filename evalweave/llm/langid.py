@@ -85,17 +85,17 @@ class Profiles(NamedTuple):
 
 
 def learn(labelled: DataFrame, most: int = 300, per_language: int = 3000) -> Profiles:
-    """Profiles from (text, lang), of about ``per_language`` texts for each language.
+    """Profiles from (doc_id, text, lang), of about ``per_language`` texts for each language.
 
-    The sample is drawn by a hash of the text, at a rate set by each language's count, so
+    The sample is drawn by a hash of doc_id and text, so that copies are drawn apart, at a rate set by each language's count, so
     its size is bounded and nothing is sorted; only profiles come to the driver.
     """
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"))
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("draw"), "text", F.col("lang").cast("string").alias("lang"))
     rates = [(r.lang, min(1.0, per_language / r.n)) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not rates:
         return Profiles([], np.zeros(1, np.int64), np.zeros((1, 0), np.int64), most)
     rate = labelled.sparkSession.createDataFrame(rates, "lang string, rate double")
-    sample = rows.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text")
+    sample = rows.join(F.broadcast(rate), "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("rate") * (1 << 30)).select("lang", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -135,6 +135,6 @@ def identify(docs: DataFrame, fold: int = 4, held: int = 2, most: int = 300, per
     """doc_id, held_out, lang_pred, score of every row; held-out rows teach nothing."""
     out = crc_fold(fold) == held
     texts = texts_of(docs, keep_null=True)
-    train = docs.where(~out).select(F.col("text").cast("string").alias("text"), "lang")
+    train = docs.where(~out).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     found = predict(texts, learn(train, most, per_language))
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")

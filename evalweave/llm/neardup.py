@@ -1,10 +1,13 @@
 """MinHash near duplicates with odd sketches.
 
-1. One Arrow pass turns each text into MinHash samples. Bands of samples give bucket
+1. One Arrow pass turns each text into MinHash samples of its shingles, which 64 bits
+   mixed from the 128-bit hashes of their words tell apart. Bands of samples give bucket
    keys. Samples of one further permutation are folded into an odd sketch, a bitmap in
    which each sample flips one bit. The population count of the XOR of two sketches
    estimates how many samples differ, most precisely at high similarity.
-2. Documents with one and the same shingle set form a class, named by its smallest id.
+2. Documents with one and the same shingle set form a class, named by its smallest id:
+   a digest of the sorted set finds them, and each full set is compared with that of the
+   class's smallest id.
 3. Buckets link their members to a centre (a star, never all pairs). Sketches reject
    links far under the threshold; the rest is confirmed on the full shingle sets.
 4. Components of confirmed links tell which buckets still hold members of different
@@ -23,6 +26,7 @@ doc_id are one node with the links of either.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash, without
+from evalweave.llm.common import discard, mix, only, stage, texts_of, windows_hash, without, word_batches
 from evalweave.llm.components import connected_components
 from evalweave.llm.units import forget
 
@@ -38,11 +42,19 @@ BINS = 4096  # samples of a sketch
 BITS = 2048  # of a sketch
 
 
-def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct hashes of runs of ``n`` words; of the whole if there are fewer."""
-    if not len(words):
-        return words
-    return np.unique(windows_hash(words, min(n, len(words))))
+def shingle_sets_of(texts: list[str], n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of runs of ``n`` words; of the whole if there are fewer."""
+
+    def hashes(words: np.ndarray, n: int) -> np.ndarray:
+        return mix(windows_hash(words[0], n) ^ mix(windows_hash(words[1], n), 17))
+
+    for words, cuts in word_batches(texts, lower=True):
+        all_ = hashes(words, n)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a >= n:
+                yield np.unique(all_[a : b - n + 1])
+            else:
+                yield hashes(words[:, a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
 class MinHasher:
@@ -109,48 +121,53 @@ def signatures(texts: DataFrame, words: int, hasher: MinHasher) -> DataFrame:
         forget()
         for part in parts:
             n, digest, mins, sketches, some = [], [], [], [], []
-            for i, h in enumerate(hashed_words(part.column(1).to_pylist(), lower=True)):
-                s = shingle_set(h, words)
+            for i, s in enumerate(shingle_sets_of(part.column(1).to_pylist(), words)):
                 n.append(len(s))
-                digest.append((int(s.sum(dtype=np.uint64)), int(mix(s, 5).sum(dtype=np.uint64))))
+                digest.append(_digest(s))
                 if len(s):
                     some.append(i)
                     mins.append(hasher.samples(s))
                     sketches.append(odd_sketch(s))
-            d = np.array(digest, np.uint64).reshape(-1, 2).view(np.int64)
+            d = np.array(digest, np.int64).reshape(-1, 2)
             keys = np.zeros((len(n), hasher.bands), np.uint64)
             odd = np.zeros((len(n), BITS // 64), np.uint64)
             if some:
                 keys[some], odd[some] = hasher.keys(np.stack(mins)), np.stack(sketches)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), _lists(keys), _lists(odd)], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), _lists(keys), _lists(odd)], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
     return texts.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
+def _digest(shingles: np.ndarray) -> np.ndarray:
+    """128 bits of a sorted set."""
+    return np.frombuffer(hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest(), "<i8")
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id and the whole shingle set of each text."""
+    """doc_id, digest (d1, d2) and the whole shingle set of each text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for part in parts:
             ids, sets, size = [], [], 0
-            for i, h in zip(part.column(0).to_pylist(), hashed_words(part.column(1).to_pylist(), lower=True), strict=True):
+            for i, s in zip(part.column(0).to_pylist(), shingle_sets_of(part.column(1).to_pylist(), words), strict=True):
                 ids.append(i)
-                sets.append(shingle_set(h, words))
-                size += len(sets[-1])
+                sets.append(s)
+                size += len(s)
                 if size > 1 << 20:
                     yield _set_batch(ids, sets)
                     ids, sets, size = [], [], 0
             if ids:
                 yield _set_batch(ids, sets)
 
-    return texts.mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.mapInArrow(run, "doc_id long, d1 long, d2 long, shingles array<long>")
 
 
 def _set_batch(ids: list, sets: list) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
     values = np.concatenate(sets).astype(np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "shingles"])
+    d = np.stack([_digest(s) for s in sets])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "d1", "d2", "shingles"])
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -182,7 +199,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shared, shared_path = stage(shared, "shared")
     hot, hot_path = stage(keyed.join(shared, "key"), "buckets")
     nodes = hot.select("doc_id").distinct()
-    sets, sets_path = stage(shingle_sets(only(texts, nodes), words).distinct(), "sets")
+    copies = members.where("doc_id <> rep")
+    wanted = nodes.union(copies.select("doc_id")).union(copies.select("rep"))
+    sets, sets_path = stage(shingle_sets(only(texts, wanted).dropDuplicates(["doc_id", "text"]), words), "sets")
+    one, other = sets.withColumnRenamed("shingles", "own"), sets.select(F.col("doc_id").alias("rep"), "d1", "d2", F.col("shingles").alias("first"))
+    if not copies.select("doc_id", "d1", "d2", "rep").join(one, ["doc_id", "d1", "d2"]).join(other.hint("merge"), ["rep", "d1", "d2"]).where("own <> first").isEmpty():
+        raise RuntimeError("two shingle sets share a digest")
     node, node_path = stage(reps.join(nodes, "doc_id", "left_semi").select("doc_id", "n", "sketch", "bands"), "nodes")
 
     def sketched(pairs: DataFrame) -> DataFrame:

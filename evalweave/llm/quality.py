@@ -6,7 +6,7 @@ over all rules keeps a few; those are compiled into one Spark column expression.
 
 Edge cases: null and empty texts have all statistics 0 and are scored like any other;
 without labelled texts of both kinds every score is the share of label 1; rows that
-repeat a doc_id are each scored.
+repeat a doc_id are each scored; a doc_id whose labels differ teaches nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import crc_fold, hashed_words, texts_of
+from evalweave.llm.common import crc_fold, discard, hashed_words, texts_of
 from evalweave.llm.toxicity import training_rows
 from evalweave.llm.units import forget
 
@@ -44,7 +44,7 @@ def statistics(text: str | None, words: np.ndarray) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     tails = np.flatnonzero((buf[1:] <= 0x20) & _ENDS[buf[:-1]])
     with np.errstate(over="ignore"):
-        pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+        pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]  # a statistic: chance equals do no harm
     same = np.flatnonzero(np.diff(buf) != 0)
     longest = int(np.diff(np.concatenate([[-1], same, [len(buf) - 1]])).max())
     return [math.log1p(len(words)), len(buf) / len(words), *share.tolist(), math.log1p(len(words) / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), len(counts) / len(words), float(counts.max()) / len(words), len(tails) / len(words), 1 - len(np.unique(pairs)) / max(1, len(pairs)), math.log1p(longest)]
@@ -57,7 +57,7 @@ def measured(texts: DataFrame, *more: str) -> DataFrame:
         forget()
         for batch in parts:
             strings = batch.column(0).to_pylist()
-            rows = np.array([statistics(t, h) for t, h in zip(strings, hashed_words([t or "" for t in strings], lower=True), strict=True)]).reshape(-1, len(STATISTICS))
+            rows = np.array([statistics(t, h[0]) for t, h in zip(strings, hashed_words([t or "" for t in strings], lower=True), strict=True)]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c) for c in rows.T)], [*more, *STATISTICS])
 
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
@@ -83,7 +83,7 @@ class Rule(NamedTuple):
         return out
 
 
-def _grow(x: np.ndarray, bins: list[np.ndarray], codes: np.ndarray, r: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, path: tuple, leaves: list, rules: set, least: int) -> None:
+def _grow(bins: list[np.ndarray], codes: np.ndarray, r: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, path: tuple, leaves: list, rules: set, least: int) -> None:
     """A regression tree on gradients; every node below the root leaves its path as a rule."""
     g, w = r[rows].sum(), h[rows].sum()
     best = (1e-9, None)
@@ -108,7 +108,7 @@ def _grow(x: np.ndarray, bins: list[np.ndarray], codes: np.ndarray, r: np.ndarra
     for side in (False, True):
         further = (*path, (i, side, float(bins[i][k])))
         rules.add(Rule(tuple(sorted(further))))
-        _grow(x, bins, codes, r, h, rows[above == side], depth - 1, further, leaves, rules, least)
+        _grow(bins, codes, r, h, rows[above == side], depth - 1, further, leaves, rules, least)
 
 
 def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, seed: int = 5) -> list[Rule]:
@@ -123,7 +123,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
         rows = np.sort(rng.permutation(len(y))[: max(2, len(y) // 2)])
         leaves: list = []
         grown: set = set()
-        _grow(x, bins, codes, y - p, p * (1 - p), rows, depth, (), leaves, grown, max(5, len(y) // 500))
+        _grow(bins, codes, y - p, p * (1 - p), rows, depth, (), leaves, grown, max(5, len(y) // 500))
         if not grown:
             break
         rules |= grown
@@ -134,14 +134,14 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, ra
         out = np.setdiff1d(np.arange(len(y)), rows)
         if len(out) and leaves:
             near = np.zeros(len(out))
-            for part, value in _leaf_rules(bins, codes, leaves, grown, rows):
+            for part, value in _leaf_rules(bins, codes, leaves, grown):
                 near[part.holds(x[out])] = value
             step[out] = near
         f += rate * step
     return sorted(rules)
 
 
-def _leaf_rules(bins: list, codes: np.ndarray, leaves: list, grown: set, rows: np.ndarray) -> Iterator[tuple[Rule, float]]:
+def _leaf_rules(bins: list, codes: np.ndarray, leaves: list, grown: set) -> Iterator[tuple[Rule, float]]:
     """Of the grown rules those that are leaves: no other extends them."""
     longer = {r.parts[:i] + r.parts[i + 1 :] for r in grown for i in range(len(r.parts))}
     ends = [r for r in grown if r.parts not in longer]
@@ -205,7 +205,9 @@ def learn(x: np.ndarray, y: np.ndarray, penalty: float = 0.002) -> Ensemble:
 def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; fitted on about ``most`` labelled rows."""
     out = crc_fold(fold) == held
-    rows = measured(training_rows(docs, labels, "quality", out, most), "y").toPandas()
+    training, path = training_rows(docs, labels, "quality", out, most)
+    rows = measured(training, "y").toPandas()
+    discard(docs.sparkSession, path)
     rows = rows.sort_values([*STATISTICS, "y"])  # so that a fit can be repeated
     model = learn(rows[STATISTICS].to_numpy(float), rows["y"].to_numpy(float))
     found = measured(texts_of(docs), "doc_id").withColumn("score", model.column())

@@ -13,7 +13,7 @@ share of the text's words makes the score of the text.
 
 Edge cases: null, empty and wordless texts have no segment and get the curve's value at
 zero; without labelled texts of both kinds every score is the share of toxic ones, or 0;
-rows that repeat a doc_id are each scored.
+rows that repeat a doc_id are each scored; a doc_id whose labels differ teaches nothing.
 """
 
 from __future__ import annotations
@@ -27,15 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import _BYTE, batches, crc_fold, mix, only, segment_hashes, stage, texts_of, windows_hash
+from evalweave.llm.common import FIRST_BYTES, batches, crc_fold, discard, first_words, mix, only, run_hashes, runs, stage, texts_of, windows_hash
 from evalweave.llm.units import forget
 from evalweave.runtime import ship
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 STEMS = (4, 5, 6, 7, 8)
-_STEP = np.uint64(0xD1342543DE82EF95)
-_WORD_HASH = np.where(_WORD, _BYTE, np.uint64(0))
 
 
 def hashed_terms(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -43,36 +41,19 @@ def hashed_terms(texts: list[str | None]) -> Iterator[np.ndarray]:
     for _, part in batches(texts, [t or "" for t in texts]):
         raw = [t.lower().encode("utf-8", "surrogatepass") for t in part]
         buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        word = _WORD[buf]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        starts = np.flatnonzero(first)
-        hashes = _term_hashes(buf, starts)
+        starts, sizes = runs(_WORD[buf])
+        hashes = np.zeros((len(starts), 1 + len(STEMS)), np.uint64)
+        if len(starts):
+            hashes[:, 0] = run_hashes(buf, starts, sizes)[0]
+            begin = first_words(buf, starts, sizes)[0]
+            for i, j in enumerate(STEMS):
+                hashes[:, 1 + i] = np.where(sizes > j, mix(begin & FIRST_BYTES[j], j), np.uint64(0))
         at = 0
         for cut in np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])):
             yield hashes[at:cut]
             at = cut
 
 
-def _term_hashes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(starts), 1 + len(STEMS)), np.uint64)
-    if not len(starts):
-        return out
-    body, begin = buf[starts[0] :], starts - starts[0]
-    ends = np.append(begin[1:], len(body))
-    size = np.add.reduceat(_WORD[body].astype(np.int32), begin)
-    out[:, 0] = segment_hashes(buf, starts, _WORD_HASH)
-    # the first bytes of each word one by one: a beginning's hash is the hash before it and one byte more
-    run = np.zeros(len(starts), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(STEMS[-1]):
-            byte = _WORD_HASH[body[np.minimum(begin + j, ends - 1)]]
-            run = run * _STEP + byte
-            if j + 1 in STEMS:
-                out[:, 1 + STEMS.index(j + 1)] = np.where(size > j + 1, mix(run, j + 1), np.uint64(0))
-    return out
-
-
 def segments(places: np.ndarray, scores: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last place, score), in one pass.
 
@@ -176,12 +157,14 @@ def _lambda(scores: np.ndarray, chance: np.ndarray) -> float:
     return low or high
 
 
-def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: float = 0.05, most_terms: int = 20_000) -> Model:
+def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: float = 0.05) -> Model:
     """A model from staged (text, y).
 
     Of texts with an equal least hash of three-word windows, for either of two hashes, one
-    is counted: families of copies would make all their words look toxic or clean. Counts are summed before the shuffle; a term needs a clear z-score
-    over words and a fair one over texts, and only such terms reach the driver.
+    is counted: families of copies would make all their words look toxic or clean. Counts
+    are summed before the shuffle; a term needs a clear z-score over words and a fair one
+    over texts. All such terms reach the driver, at most those of the labelled texts,
+    which the caller bounds.
     """
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +200,8 @@ def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: f
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), gap, 1.0, 0.0, flat)
     # of equal hashes always the same text, so that a fit can be repeated
     signed = rows.mapInArrow(sign, "text string, y int, a long, b long").groupBy("y", "a").agg(F.min(F.struct("b", "text")).alias("r"))
-    single, _ = stage(signed.groupBy("y", "r.b").agg(F.min("r.text").alias("text")).select("text", "y"), "single")
-    counts, _ = stage(single.mapInArrow(count, "term long, n1 long, n0 long, d1 long, d0 long").where("term <> 0").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0"))), "terms")
+    single, single_path = stage(signed.groupBy("y", "r.b").agg(F.min("r.text").alias("text")).select("text", "y"), "single")
+    counts, counts_path = stage(single.mapInArrow(count, "term long, n1 long, n0 long, d1 long, d0 long").where("term <> 0").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0"))), "terms")
     texts = {r.y: r[1] for r in single.groupBy("y").count().collect()}
 
     def odds(one: str, none: str, all1: float, all0: float) -> tuple[F.Column, F.Column]:
@@ -231,7 +214,7 @@ def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: f
     score_, z = odds("n1", "n0", t1, t0)
     _, z_texts = odds("d1", "d0", float(texts.get(1, 0)), float(texts.get(0, 0)))
     clear = (F.abs("z") >= least_z) & (F.abs("zd") >= least_z / 2) & (F.signum("z") == F.signum("zd"))
-    found = counts.select("term", "n0", score_.alias("score"), z.alias("z"), z_texts.alias("zd")).where(clear).orderBy(F.abs("z").desc(), "term").limit(most_terms).collect()
+    found = counts.select("term", "n0", score_.alias("score"), z.alias("z"), z_texts.alias("zd")).where(clear).collect()
     found.sort(key=lambda r: r.term & (2**64 - 1))
     terms = np.array([r.term for r in found], np.int64).view(np.uint64)
     scores = np.array([r.score for r in found], float)
@@ -244,6 +227,8 @@ def learn(labelled: DataFrame, prior: float = 0.05, least_z: float = 4.0, gap: f
     clean = best.where("y = 0").agg(F.count("*"), F.sum(F.exp(-F.greatest(F.coalesce("x", F.lit(0.0)), F.lit(-30.0))))).first()
     fitted = draft._replace(log_k=math.log(max(clean[0], 1) / max(clean[1] or 1.0, 1e-9)))
     sample = single.mapInArrow(lambda parts: _features(parts, fitted), "y int, f array<double>").collect()
+    discard(labelled.sparkSession, single_path, counts_path)
+    sample.sort(key=lambda r: (r.y, r.f))  # so that a fit can be repeated
     return fitted._replace(weights=_logistic(np.array([r.f for r in sample]), np.array([r.y for r in sample], float)))
 
 
@@ -279,36 +264,47 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, score double, passages array<struct<first:long,last:long,excess:double>>")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, most: int) -> DataFrame:
-    """(text, y) of about ``most`` labelled rows that aren't held out, drawn by a hash of the doc_id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held).dropDuplicates(["doc_id"])
-    known, _ = stage(known, "labels")
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, held: F.Column, most: int) -> tuple[DataFrame, str]:
+    """(text, y) of about ``most`` labelled rows that aren't held out, drawn by a hash of the doc_id, and where they are staged.
+
+    A doc_id whose rows of ``labels`` say both 0 and 1 is left out.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").drop("top")
+    known, path = stage(known, "labels")
     n = known.count()
     rate = min(1.0, most / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
-    return stage(only(texts_of(docs), known).join(known, "doc_id").select("text", "y"), "training")[0]
+    out, out_path = stage(only(texts_of(docs), known).join(known, "doc_id").select("text", "y"), "training")
+    discard(spark, path)
+    return out, out_path
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
     """The rows of ``docs`` under the threshold, with all their columns; nothing is shuffled but the training sample."""
     ship(docs.sparkSession)
-    model = learn(training_rows(docs, labels, "toxic", crc_fold(fold) == held, most))
-    at = docs.columns.index("text")
+    training, path = training_rows(docs, labels, "toxic", crc_fold(fold) == held, most)
+    model = learn(training)
+    discard(docs.sparkSession, path)
+    sieves: list[np.ndarray] = []  # made once in each worker
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
         forget()
-        sieve = model.sieve()
-        for batch in parts:
-            f = [model.features(model.found(t, sieve), len(t)) for t in hashed_terms(batch.column(at).to_pylist())]
-            keep = model.score(np.array(f).reshape(-1, 3)) < threshold
-            yield batch.filter(pa.array(keep))
+        if not sieves:
+            sieves.append(model.sieve())
+        f = [model.features(model.found(t, sieves[0]), len(t)) for t in hashed_terms(texts.to_pylist())]
+        return pa.array(model.score(np.array(f).reshape(-1, 3)) < threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col("text").cast("string")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted, passages of every row; fitted on about ``most`` labelled rows."""
     out = crc_fold(fold) == held
-    model = learn(training_rows(docs, labels, "toxic", out, most))
+    training, path = training_rows(docs, labels, "toxic", out, most)
+    model = learn(training)
+    discard(docs.sparkSession, path)
     found = score(texts_of(docs), model)
     return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")

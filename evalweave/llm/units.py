@@ -5,7 +5,9 @@ text the ids of its units in a row. Two such kinds are known here, read off the
 tokenizer's own file; any other tokenizer encodes whole texts. Units of Latin letters,
 digits and signs are cut by the file's own pattern and go straight to the library's
 BPE model; all others go through the library whole. Memos are bounded, in two
-generations, and live as long as the Python worker.
+generations, and live as long as the Python worker. Units are told apart by their bytes.
+Texts in which an added token's literal stands are encoded whole, as the library treats
+it as that token.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from evalweave.llm.common import segment_hashes
-
 # Encoders of a worker, by file.
 _encoders: dict[str, UnitEncoder] = {}
 _PLAIN = re.compile(r" ?[\n!-~¡-ɏ]+").fullmatch
@@ -85,15 +86,18 @@ class UnitEncoder:
     """Ids of texts as unsigned 32-bit integers."""
 
     def __init__(self, path: str, half: int = 600_000, longest: int = 64):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             text = f.read()
         spec = json.loads(text)
         self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
         self.kind, pattern = unit_kind(spec)
+        added = spec.get("added_tokens") or []
+        if any(t.get("normalized") for t in added):  # to be found only after normalisation
+            self.kind, pattern = "whole", ""
+        self.added = [t["content"] for t in added]
         self.pieces = regex.compile(pattern).findall if pattern else None
         self.model, self.letters, self.longest = self.tokenizer.model, _byte_letters(), longest
         self.units, self.signs = Memo(half), {}
@@ -183,7 +187,11 @@ class UnitEncoder:
         collecting = gc.isenabled()
         gc.disable()  # tokens come and go by the million, none in a cycle
         try:
-            return by_units([t.encode("utf-8", "surrogatepass") for t in texts], _before_words, self._look)
+            odd = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+            out = by_units([b"" if i in odd else t.encode("utf-8", "surrogatepass") for i, t in enumerate(texts)], _before_words, self._look)
+            for i, ids in zip(sorted(odd), self._whole([texts[i] for i in sorted(odd)]), strict=True):
+                out[i] = np.frombuffer(ids, "<u4")
+            return out
         finally:
             if collecting:
                 gc.enable()
@@ -194,7 +202,7 @@ def _before_words(buf: np.ndarray) -> np.ndarray:
 
 
 def by_units(raw: list[bytes], cuts: Callable[[np.ndarray], np.ndarray], look: Callable[[list[bytes]], list[bytes]]) -> list[np.ndarray]:
-    """Ids of each text from the ids of its units; units are found, hashed and told apart for all texts at once.
+    """Ids of each text from the ids of its units; equal units are found by Arrow's dictionary of their bytes.
 
     ``cuts`` tells of all bytes but the last whether a unit begins there; ``look`` gives the ids of distinct units.
     """
@@ -207,12 +215,11 @@ def by_units(raw: list[bytes], cuts: Callable[[np.ndarray], np.ndarray], look: C
     cut[:-1] = cuts(buf)
     cut[begins[:-1][begins[:-1] < len(buf)]] = True
     starts = np.flatnonzero(cut)
-    ends = np.append(starts[1:], len(buf))
-    # hashed in slices, since that takes tens of bytes for each byte
-    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(buf), 1 << 20)), len(starts)))
-    hashes = [segment_hashes(buf[: ends[b - 1]], starts[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    _, where, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    found = look([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+    offsets = np.append(starts, len(buf))
+    kind, width = (pa.binary(), np.int32) if len(buf) < 2**31 else (pa.large_binary(), np.int64)
+    units = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(joined)]).dictionary_encode()
+    which = units.indices.to_numpy()
+    found = look(units.dictionary.to_pylist())
     sizes = np.array([len(x) >> 2 for x in found])
     flat = np.frombuffer(b"".join(found), "<u4")
     tokens = sizes[which]
