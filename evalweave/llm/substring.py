@@ -3,13 +3,19 @@
 The fingerprint of a window of ``window`` words is the least hash of its shorter grams,
 so windows with equal words have equal fingerprints, and neighbouring windows mostly
 share one. Each stretch of windows with one fingerprint is an entry: the fingerprint, a
-hash of the words of the whole stretch (its context), and where it lies. The index is a
-log of immutable runs, files sorted by fingerprint, with the smallest document of every
-(fingerprint, context). A new batch of documents is joined with all runs:
+128-bit hash of the words of the whole stretch (its context), and where it lies.
+
+The index is a log of immutable sorted runs in a folder that outlives a session. A run
+is two bucketed tables: the contexts, each with its smallest document and a place there,
+dealt by the whole key, so that a hot passage with many contexts fills no bucket; and
+one row for each fingerprint that tells whether it has several contexts. A new batch of
+documents is dealt into the same buckets and merge-joined with every run; what the log
+holds does not move:
 
 * a context that an earlier document has too settles all its windows at once;
 * for a fingerprint with several contexts, one document of each is read again, and the
-  128-bit hashes of its windows are compared: this verifies every partial overlap.
+  128-bit hashes of its windows are compared: this verifies every partial overlap. Only
+  those rows of the log leave their buckets.
 
 Then the batch becomes a run; more than ``fanout`` runs are compacted into one. Copies
 and shared passages meet as one entry each, so hot passages are aggregated before any
@@ -24,23 +30,27 @@ own text.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, hashed_words, mix, only, stage, texts_of, windows_hash, without
+from evalweave.llm.common import discard, near_slots, only, packed, scratch_path, spans_hash, stage, texts_of, windows_hash, without, word_batches
 from evalweave.llm.units import forget
 
 GRAM = 16
-_KEY = ["fp", "ctx", "n"]
-_ENTRY = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("fp", pa.int64()), ("ctx", pa.int64())]))
+_KEY = ["fp", "c1", "c2", "n"]
+_ENTRY = "array<struct<at:int,n:int,fp:long,c1:long,c2:long>>"
+_TABLES = {"contexts": ("fp BIGINT, c1 BIGINT, c2 BIGINT, n INT, at INT, doc_id BIGINT, last BIGINT", _KEY), "prints": ("fp BIGINT, a1 BIGINT, z1 BIGINT, a2 BIGINT, z2 BIGINT, lo BIGINT, hi BIGINT", ["fp"])}
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+``."""
+    """Words ``[^\x20\x09-\x0D]+``."""
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
@@ -54,25 +64,24 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _span_hashes(words: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash of each span of words: differences of prefix sums, scaled to the span's own start."""
-    base = np.uint64(0xD1342543DE82EF95)
-    inverse = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
-    with np.errstate(over="ignore"):
-        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(words), base))])
-        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(words), inverse))])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(words, 3) * power[:-1])])
-        return mix((total[first + length] - total[first]) * back[first])
-
+def entries(words: np.ndarray, cuts: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Text's number, at, n, fp, c1, c2 of each stretch of windows with one fingerprint, of texts in a row.
 
-def entries(words: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """at, n, fp, ctx of each stretch of windows with one fingerprint."""
-    if len(words) < window:
-        return (np.zeros(0, np.int64),) * 4
-    least = _sliding_min(windows_hash(words, gram), window - gram + 1)
-    at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    n = np.diff(np.append(at, len(least)))
-    return at, n, least[at].view(np.int64), _span_hashes(words, at, n + window - 1).view(np.int64)
+    ``words`` are two rows of hashes; ``cuts`` tells where each text's words begin and the last one's end.
+    """
+    gram = min(gram, window)
+    if words.shape[1] < window:
+        return (np.zeros(0, np.int64),) * 6
+    text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    least = _sliding_min(windows_hash(words[0], gram), window - gram + 1)
+    text = np.where(text[: len(least)] == text[window - 1 :], text[: len(least)], -1)  # else the window leaves its text
+    begins = text >= 0
+    begins[1:] &= (text[1:] != text[:-1]) | (least[1:] != least[:-1])
+    at = np.flatnonzero(begins)
+    of = text[at]
+    n = np.minimum(np.append(at[1:], len(least)), cuts[of + 1] - window + 1) - at
+    length = n + window - 1
+    return of, at - cuts[of], n, least[at].view(np.int64), *(spans_hash(row, at, length).view(np.int64) for row in words)
 
 
 def fingerprints(texts: DataFrame, window: int) -> DataFrame:
@@ -81,18 +90,17 @@ def fingerprints(texts: DataFrame, window: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in parts:
-            texts_ = batch.column(1).to_pylist()
-            n, sha, sizes, cols = [], [], [0], []
-            for t, h in zip(texts_, hashed_words(texts_), strict=True):
-                n.append(len(h))
-                sha.append(hashlib.sha256(b" ".join(words_of(t))).hexdigest())
-                cols.append(entries(h, window))
-                sizes.append(sizes[-1] + len(cols[-1][0]))
-            at, k, fp, ctx = (np.concatenate(c) for c in zip(*cols, strict=True)) if cols else (np.zeros(0, np.int64),) * 4
-            rows = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(fp), pa.array(ctx)], ["at", "n", "fp", "ctx"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(np.array(sizes, np.int32)), rows)], ["doc_id", "n_words", "sha", "entries"])
+            texts_, done = batch.column(1).to_pylist(), 0
+            for words, cuts in word_batches(texts_):
+                some = len(cuts) - 1
+                sha = [hashlib.sha256(b" ".join(words_of(t))).hexdigest() for t in texts_[done : done + some]]
+                of, at, n, fp, c1, c2 = entries(words, cuts, window)
+                rows = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp), pa.array(c1), pa.array(c2)], ["at", "n", "fp", "c1", "c2"])
+                sizes = np.searchsorted(of, np.arange(some + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, some), pa.array(np.diff(cuts).astype(np.int64)), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(sizes), rows)], ["doc_id", "n_words", "sha", "entries"])
+                done += some
 
-    return texts.mapInArrow(run, "doc_id long, n_words long, sha string, entries array<struct<at:int,n:int,fp:long,ctx:long>>")
+    return texts.mapInArrow(run, f"doc_id long, n_words long, sha string, entries {_ENTRY}")
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
@@ -101,91 +109,176 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in parts:
-            spans = batch.column(2).to_pylist()
-            for i, h in enumerate(hashed_words(batch.column(1).to_pylist())):
-                w1 = windows_hash(h, window)
-                listed = np.zeros(len(w1) + 1, np.int32)
-                for s in spans[i]:
-                    # a shorter text of the same doc_id may end before the stretch
-                    listed[min(s["at"], len(w1))] += 1
-                    listed[min(s["at"] + s["n"], len(w1))] -= 1
-                at = np.flatnonzero(np.isin(w1, w1[np.cumsum(listed[:-1]) > 0]))
-                w2 = windows_hash(h, window, seed=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[i].as_py(), np.int64)), pa.array(at.astype(np.int32)), pa.array(w1[at].view(np.int64)), pa.array(w2[at].view(np.int64))], ["doc_id", "at", "w1", "w2"])
+            spans, done = batch.column(2).to_pylist(), 0
+            ids = batch.column(0).to_pylist()
+            for words, cuts in word_batches(batch.column(1).to_pylist()):
+                w1, w2 = windows_hash(words[0], window), windows_hash(words[1], window)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    mine, most = spans[done], max(b - a - window + 1, 0)
+                    listed = np.zeros(most + 1, np.int32)
+                    for s in mine:
+                        # a shorter text of the same doc_id may end before the stretch
+                        listed[min(s["at"], most)] += 1
+                        listed[min(s["at"] + s["n"], most)] -= 1
+                    h = w1[a : a + most]
+                    at = np.flatnonzero(np.isin(h, h[np.cumsum(listed[:-1]) > 0]))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[done], np.int64)), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(w2[a + at].view(np.int64))], ["doc_id", "at", "w1", "w2"])
+                    done += 1
 
     return texts.mapInArrow(run, "doc_id long, at int, w1 long, w2 long")
 
 
 class FingerprintIndex:
-    """The log: (fp, ctx, n) with its smallest doc_id and a place there, in sorted immutable runs."""
+    """The log at ``path``: opened if one is there, else begun.
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.runs: list[tuple[DataFrame, str]] = []
-        self.scratch: list[str] = []
+    A manifest names the runs, the number of buckets and the largest doc_id. It is
+    written anew under the next number after each change, once all files are there, and
+    the old one then goes: a job that fails leaves the log as it was.
+    """
 
-    def all(self) -> DataFrame | None:
-        out = None
-        for run, _ in self.runs:
-            out = run if out is None else out.unionByName(run)
-        return out
+    def __init__(self, spark: SparkSession, path: str, window: int = 50, fanout: int = 4):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        self.scratch: list[str] = []
+        self.tables: dict[str, str] = {}
+        old = self._manifests()
+        if old:
+            with_ = json.loads(self._read(old[-1]))
+            if with_["window"] != window:
+                raise ValueError(f"this log is of windows of {with_['window']} words")
+            self.state = with_
+        else:
+            self.state = {"number": 0, "window": window, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "last": None, "runs": []}
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _manifests(self) -> list[str]:
+        fs = self._fs()
+        there = fs.listStatus(self._at("")) if fs.exists(self._at("")) else []
+        return sorted(n for n in (f.getPath().getName() for f in there) if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _read(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
+
+    def _commit(self, runs: list[str], last: int | None) -> None:
+        old = self._manifests()
+        self.state = {**self.state, "number": self.state["number"] + 1, "last": last, "runs": runs}
+        name, fs = f"manifest-{self.state['number']:08d}.json", self._fs()
+        out = fs.create(self._at(f"_{name}"), True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        fs.rename(self._at(f"_{name}"), self._at(name))
+        for gone in old:
+            fs.delete(self._at(gone), False)
+
+    def table(self, run: str, kind: str) -> DataFrame:
+        """One of a run's two tables, with its buckets."""
+        name = f"{run}_{kind}"
+        if name not in self.tables:
+            columns, key = _TABLES[kind]
+            self.tables[name] = f"{name}_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.tables[name]} ({columns}) USING parquet CLUSTERED BY ({', '.join(key)}) SORTED BY ({', '.join(key)}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{run}/{kind}'")
+        return self.spark.table(self.tables[name])
+
+    def runs(self, kind: str) -> list[DataFrame]:
+        return [self.table(r, kind) for r in self.state["runs"]]
+
+    def _write(self, run: str, kind: str, rows: DataFrame) -> DataFrame:
+        """Rows grouped by the table's key, into its buckets."""
+        key, buckets, name = _TABLES[kind][1], self.state["buckets"], f"{run}_{kind}"
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != buckets:
+            rows = rows.repartition(buckets, *key)  # else the grouping has dealt them just so
+        self.tables[name] = f"{name}_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{run}/{kind}").bucketBy(buckets, *key).sortBy(*key).saveAsTable(self.tables[name])
+        return self.table(run, kind)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         out, path = stage(df, name)
         self.scratch.append(path)
         return out
 
-    def clear(self, log: bool = False) -> None:
-        """Delete scratch tables, and the log too if asked."""
-        discard(self.spark, *self.scratch, *(path for _, path in self.runs if log))
-        self.scratch = []
+    def close(self, log: bool = False) -> None:
+        """Delete scratch tables, and the log too if asked; names of tables leave the session, their files stay."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, *self.scratch, *([self.path] if log else []))
+        self.scratch, self.tables = [], {}
 
-    def append(self, run: DataFrame) -> None:
-        self.runs.append(stage(run.sortWithinPartitions(*_KEY), "fp-run"))
-        if len(self.runs) > self.fanout:
-            self.compact()
+    def _forget(self, run: str) -> None:
+        for kind in _TABLES:
+            if name := self.tables.pop(f"{run}_{kind}", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, f"{self.path}/{run}")
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go once the new one is written."""
-        merged = self.all().groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))
-        old = self.runs
-        self.runs = [stage(merged.sortWithinPartitions(*_KEY), "fp-run")]
-        discard(self.spark, *(path for _, path in old))
-
-    def add_batch(self, batch: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+        """Merge all runs into one; the old ones go once the new one is written and the manifest names it."""
+        old, run = self.state["runs"], f"run_{uuid.uuid4().hex}"
+        for kind, (_, key) in _TABLES.items():
+            least = {"contexts": [F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("last").alias("last")], "prints": _bounds()}[kind]
+            self._write(run, kind, reduce(DataFrame.unionByName, self.runs(kind)).groupBy(*key).agg(*least))
+        self._commit([run], self.state["last"])
+        for r in old:
+            self._forget(r)
+
+    def add_batch(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
         """Stretches (doc_id, at, n) of the batch's windows that a smaller doc_id has too; then the batch joins the log.
 
-        ``batch`` are entries (doc_id, at, n, fp, ctx), all with larger doc_ids than what
+        ``batch`` are entries (doc_id, at, n, fp, c1, c2), all with larger doc_ids than what
         the log holds; ``texts`` are the documents of the batch and of the log.
         """
+        window, run = self.state["window"], f"run_{uuid.uuid4().hex}"
         own = batch.groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-        own = self._stage(own.sortWithinPartitions(*_KEY), "fp-batch")
-        past = self.all()
-        known = own.select(*_KEY, "at", "doc_id", "last", F.lit(True).alias("new"))
-        if past is not None:
-            # only the log's entries with a fingerprint of the batch matter
-            met = past.join(own.select("fp").distinct(), "fp", "left_semi").select(*_KEY, "at", "doc_id", F.col("doc_id").alias("last"), F.lit(False).alias("new"))
-            known = known.unionByName(met).groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("last").alias("last"), F.bool_and("new").alias("new"))
-            known = self._stage(known, "fp-known")
-        shared = self._stage(known.where("doc_id < last").select(*_KEY, F.col("doc_id").alias("first")), "fp-shared")
+        own = self._write(run, "contexts", own)
+        lowest, highest = own.agg(F.min("doc_id"), F.max("last")).first()
+        if lowest is None:
+            self._forget(run)
+            return self.spark.createDataFrame([], "doc_id long, at int, n int")
+        if self.state["last"] is not None and lowest <= self.state["last"]:
+            self._forget(run)
+            raise ValueError(f"doc_id {lowest} isn't above the log's last, {self.state['last']}")
+        # merge joins within buckets: neither side moves
+        met = own
+        for i, past in enumerate(self.runs("contexts")):
+            met = met.join(past.select(*_KEY, F.col("doc_id").alias(f"p{i}")).hint("merge"), _KEY, "left")
+        past = [F.col(f"p{i}") for i in range(len(self.state["runs"]))]
+        known = met.select(*_KEY, "at", "doc_id", "last", (F.least("doc_id", *past) if past else F.col("doc_id")).alias("first"))
+        known = self._stage(known, "fp-known")
+        shared = known.where("first < last").select(*_KEY, "first")
         whole = batch.join(shared.hint("merge"), _KEY).where("doc_id > first").select("doc_id", "at", "n")
 
-        several = self._stage(known.groupBy("fp").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("new").alias("any")).where("c > 1 AND lo < hi AND any").select("fp"), "fp-several")
-        open_ = known.join(several.hint("merge"), "fp").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+        prints = own.withColumns({"a1": F.col("c1"), "z1": F.col("c1"), "a2": F.col("c2"), "z2": F.col("c2"), "lo": F.col("doc_id"), "hi": F.col("doc_id")}).groupBy("fp").agg(*_bounds())
+        both = self._write(run, "prints", prints)
+        for older in self.runs("prints"):
+            other = older.select("fp", *(F.col(c).alias(f"_{c}") for c in ("a1", "z1", "a2", "z2", "lo", "hi")))
+            both = both.join(other.hint("merge"), "fp", "left").select("fp", *(F.least(c, f"_{c}").alias(c) if c in ("a1", "a2", "lo") else F.greatest(c, f"_{c}").alias(c) for c in ("a1", "z1", "a2", "z2", "lo", "hi")))
+        several = self._stage(both.where("(a1 < z1 OR a2 < z2) AND lo < hi").select("fp"), "fp-several")
+        # a context that the log has too is read where the log has it
+        sources = [known.where("first = doc_id"), *self.runs("contexts")]
+        open_ = reduce(DataFrame.unionByName, [near_slots(s.select(*_KEY, "doc_id", "at"), several, ["fp"])[0] for s in sources])
+        open_ = open_.join(several.hint("merge"), "fp").groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))
+        open_ = open_.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
         open_ = self._stage(open_, "fp-open")
         read = only(texts, open_).join(open_.hint("merge"), "doc_id").select("doc_id", "text", "spans")
         windows = self._stage(_windows(read, window), "windows")
         first = self._stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows-first")
         part = windows.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
-        marks = self._stage(whole.unionByName(part), "marks")
-        if past is not None:
-            # marks of documents already in the log were given with their own batch
-            low = own.agg(F.min("doc_id")).first()[0]
-            marks = marks.where(F.col("doc_id") >= F.lit(low))
-        self.append(own.select(*_KEY, "at", "doc_id"))
+        # marks of documents already in the log were given with their own batch
+        marks = self._stage(whole.unionByName(part.where(F.col("doc_id") >= F.lit(lowest))), "marks")
+        self._commit([*self.state["runs"], run], highest)
+        if len(self.state["runs"]) > self.fanout:
+            self.compact()
         return marks
 
 
+def _bounds() -> list[Column]:
+    return [*(F.min(c).alias(c) for c in ("a1", "a2", "lo")), *(F.max(c).alias(c) for c in ("z1", "z2", "hi"))]
+
+
 def _kept(text: str | None, marks: list[dict], window: int) -> tuple[list[bytes], int]:
     """The words outside of marked windows, and the number of all words."""
     words = words_of(text)
@@ -213,33 +306,37 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def _marked(docs: DataFrame, window: int, batches: int) -> tuple[DataFrame, DataFrame, str]:
+def _marked(docs: DataFrame, window: int, batches: int, fanout: int, log: str | None, history: DataFrame | None) -> tuple[DataFrame, DataFrame, str]:
     """(doc_id, marks) of documents with a marked window; the facts of every row, and where these are staged."""
     spark = docs.sparkSession
     texts = texts_of(docs)
-    facts, facts_path = stage(fingerprints(texts, window), "fingerprints")
-    some = facts.where("doc_id IS NOT NULL AND n_words >= %d" % window)
-    cuts = sorted(set(some.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    edges = [None, *(int(c) for c in cuts), None]
-    index, marks = FingerprintIndex(spark), None
-    flat = some.select("doc_id", F.inline("entries"))
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        inside = F.lit(True) if low is None else F.col("doc_id") > low
-        upto = F.lit(True) if high is None else F.col("doc_id") <= high
-        found = index.add_batch(flat.where(inside & upto), texts.where(upto), window)
+    cuts = sorted({int(c) for c in texts.select("doc_id").where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    number = F.when(F.col("doc_id").isNull(), -1)
+    for i, c in enumerate(cuts):
+        number = number.when(F.col("doc_id") <= c, i)
+    facts_path = scratch_path(spark, "fingerprints")
+    fingerprints(texts, window).withColumn("batch", number.otherwise(len(cuts)).cast("int")).write.option("compression", "zstd").partitionBy("batch").parquet(facts_path)
+    facts = spark.read.schema(f"doc_id long, n_words long, sha string, entries {_ENTRY}, batch int").parquet(facts_path)
+    index, marks = FingerprintIndex(spark, log or scratch_path(spark, "log"), window, fanout), None
+    known = texts if history is None else texts.unionByName(texts_of(history))
+    for i in range(len(cuts) + 1):
+        upto = F.lit(True) if i == len(cuts) else F.col("doc_id") <= cuts[i]
+        found = index.add_batch(facts.where(F.col("batch") == i).select("doc_id", F.inline("entries")), known.where(upto))
         marks = found if marks is None else marks.unionByName(found)
     spans, _ = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marked")
-    index.clear(log=True)
+    index.close(log=log is None)
     return spans, facts, facts_path
 
 
-def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 4, fanout: int = 2, log: str | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What stays of documents that lose words, and the facts of all.
 
     Returns (doc_id, n_words, n_removed, kept text) of documents with a marked window, and
-    (doc_id, n_words, sha256 of all words) of every row.
+    (doc_id, n_words, sha256 of all words) of every row. With ``log``, a folder that all
+    machines share, the index stays there, and a later call with larger doc_ids is held
+    against it; ``history`` are the documents that the log has seen.
     """
-    spans, facts, facts_path = _marked(docs, window, batches)
+    spans, facts, facts_path = _marked(docs, window, batches, fanout, log, history)
     cut = _cut(only(texts_of(docs), spans).join(spans.hint("merge"), "doc_id").select("doc_id", "text", "marks"), window)
     cut, _ = stage(cut, "cut")
     rest, _ = stage(facts.select("doc_id", "n_words", "sha"), "facts")
@@ -247,20 +344,20 @@ def repeated_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> tu
     return cut, rest
 
 
-def substring_digests(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFrame:
+def substring_digests(docs: DataFrame, window: int = 50, batches: int = 4, fanout: int = 2, log: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    cut, facts = repeated_passages(docs, window, batches)
+    cut, facts = repeated_passages(docs, window, batches, fanout, log, history)
     cut = cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     rest = facts.join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
     return cut.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
 
 
-def drop_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFrame:
+def drop_passages(docs: DataFrame, window: int = 50, batches: int = 4, fanout: int = 2, log: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """All rows of ``docs`` with all their columns; texts that lose words are their kept words joined by spaces.
 
     A column n_chars follows the new texts.
     """
-    spans, _, facts_path = _marked(docs, window, batches)
+    spans, _, facts_path = _marked(docs, window, batches, fanout, log, history)
     discard(docs.sparkSession, facts_path)
 
     @F.arrow_udf("string")
@@ -272,11 +369,9 @@ def drop_passages(docs: DataFrame, window: int = 50, batches: int = 2) -> DataFr
         return pa.array(out, pa.string())
 
     # each row's own text is cut: rows that share a doc_id may differ in it
-    of = spans.select(F.col("doc_id").alias("__of"), F.col("marks").alias("__marks"))
-    found = only(docs, spans).join(of.hint("merge"), F.col("doc_id") == F.col("__of"))
-    changed = found.withColumn("__kept", cut(F.col("text").cast("string"), F.col("__marks")))
-    new = {"text": F.col("__kept")}
+    changed = only(packed(docs), spans).join(spans.hint("merge"), "doc_id").withColumn("kept", cut("text", "marks"))
+    row = F.col("row").withField("text", F.col("kept"))
     if "n_chars" in docs.columns:
-        same = F.col("__kept").eqNullSafe(F.col("text"))
-        new["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))
-    return without(docs, spans).unionByName(changed.withColumns(new).select(*docs.columns))
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(F.col("kept").eqNullSafe(F.col("text")), F.col("row.n_chars")).otherwise(F.length("kept").cast(kind)))
+    return without(docs, spans).unionByName(changed.select(row.alias("row")).select("row.*"))

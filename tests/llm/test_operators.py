@@ -173,15 +173,22 @@ def test_substring(docs, batches):
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == _substring(50)
 
 
-def test_substring_compaction(spark, docs):
-    index = substring.FingerprintIndex(spark, fanout=1)
-    texts = docs.select("doc_id", "text")
-    flat = substring.fingerprints(texts.where("text IS NOT NULL"), 50).where("n_words >= 50").select("doc_id", F.inline("entries"))
-    found = 0
-    for low, high in ((0, 11), (11, 16), (16, 1000)):
-        found += index.add_batch(flat.where((F.col("doc_id") > low) & (F.col("doc_id") <= high)), texts.where(F.col("text").isNotNull() & (F.col("doc_id") <= high)), 50).select("doc_id").distinct().count()
-    assert len(index.runs) == 1
-    assert found == sum(n > 0 for _, n, _ in _substring(50).values())
+def test_log_is_reopened_and_compacted(spark, docs, tmp_path):
+    """Batch after batch against a log that lies on disk; each time it is opened anew, at another number of partitions."""
+    log, found, before = str(tmp_path / "log"), {}, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for i, (low, high) in enumerate(((0, 11), (11, 16), (16, 40), (40, 1000))):
+            spark.conf.set("spark.sql.shuffle.partitions", 4 + i % 2)
+            new = docs.where((F.col("doc_id") > low) & (F.col("doc_id") <= high))
+            rows = substring.substring_digests(new, 50, 1, 1, log=log, history=docs.where(F.col("doc_id") <= low)).collect()
+            found |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows}
+            assert len([p for p in (tmp_path / "log").iterdir() if p.name.startswith("run_")]) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == _substring(50)
+    assert len(list((tmp_path / "log").glob("manifest-*"))) == 1
+    with pytest.raises(ValueError, match="isn't above"):
+        substring.substring_digests(docs, log=log)
 
 
 def test_substring_edges(docs, nothing):
@@ -202,7 +209,6 @@ def test_substring_edges(docs, nothing):
 
 def _ids(name, end):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
     return {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, end], "<u4") for i, t in ROWS}
 
 
