@@ -2,15 +2,12 @@
 
 The model file is a protobuf message; the few fields needed are read here. From them
 the library's normaliser, space marker, merges or unigram scores, byte fallback and
-decoder are rebuilt. A SentencePiece processor checks the ids of every new unit but a lone
-space; while all agree, parity of whole texts is inferred, else whole texts are compared.
-
-Where no piece has a space marker after another character, tokens never reach over the
-gap before a marker, so texts are cut there first: each stretch of markers with the
-word after it is encoded once and remembered.
+decoder are rebuilt. Texts are encoded in batches on several threads, and the ids of
+every whole text are compared with those of a SentencePiece processor.
 
 Edge cases: null and empty texts have no ids; characters without a piece become bytes,
-or the unknown id; rows that repeat a doc_id are each encoded.
+or the unknown id; a marker that stands in a text itself decodes to a space, so its
+round trip is false; rows that repeat a doc_id are each encoded.
 """
 
 from __future__ import annotations
@@ -18,15 +15,14 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evalweave.llm.common import batches, texts_of
-from evalweave.llm.units import Memo, by_units
 
 MARK = "▁"
 # Piece types and model types of the format.
@@ -102,7 +98,7 @@ def merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
 
 def build(model: PieceModel):
     """The tokenizers library's counterpart."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.kind == UNIGRAM:
         core = models.Unigram([(p, s) for p, s, _ in model.pieces], model.unknown, model.byte_fallback)
@@ -122,130 +118,80 @@ def build(model: PieceModel):
     if model.escape:
         steps.append(normalizers.Replace(" ", MARK))
     out.normalizer = normalizers.Sequence(steps)
-    if splits(model):
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    parts: list = [decoders.Replace(MARK, " ")]
-    if model.byte_fallback:
-        parts.append(decoders.ByteFallback())
-    parts.append(decoders.Fuse())
+    # fused first: replacing in one string is cheaper than in every token
+    parts: list = [decoders.ByteFallback()] if model.byte_fallback else []
+    parts += [decoders.Fuse(), decoders.Replace(MARK, " ")]
     if model.dummy_prefix:
         parts.append(decoders.Strip(" ", 1, 0))
     out.decoder = decoders.Sequence(parts)
     return out
 
 
-def splits(model: PieceModel) -> bool:
-    """Has no piece a marker after another character?"""
-    return model.escape and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
-
-
 class PieceCoder:
-    """Ids of texts by the rebuilt tokenizer, with a bounded memo of units; and back."""
+    """Ids of texts by the rebuilt tokenizer, and back, on several threads."""
 
-    def __init__(self, path: str, threads: int = 1, half: int = 200_000):
-        if threads > 1:
-            os.environ["RAYON_NUM_THREADS"] = str(threads)
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
+    def __init__(self, path: str, threads: int = 2):
+        # the library reads the first at each batch, the other once
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
         with open(path, "rb") as f:
             self.model = parse(f.read())
-        self.tokenizer = build(self.model)
-        self.core = self.tokenizer.model
+        self.tokenizer, self.threads = build(self.model), threads
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        # units can be remembered where normalisation leaves all but the spaces alone
-        self.plain = splits(self.model) and not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix
-        self.memo, self.unlike = Memo(half), set()
-        self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _look(self, units: list[bytes]) -> list[bytes]:
-        """Ids of units, each spaces and a word; new ones are checked against SentencePiece."""
-        out, new = [], []
-        for i, u in enumerate(units):
-            ids = self.memo.get(u)
-            if ids is None:
-                word = u.decode("utf-8", "surrogatepass").replace(" ", MARK)
-                ids = np.array([t.id for t in self.core.tokenize(word)], "<u4").tobytes()
-                if len(u) <= 64:
-                    self.memo.put(u, ids)
-                new.append(i)
-            out.append(ids)
-        # SentencePiece adds the first space itself; a lone space it can only see after a word
-        for i, ids in zip(new, self.reference.encode([units[i].decode("utf-8", "surrogatepass")[1:] for i in new], num_threads=1), strict=True):
-            if units[i] != b" " and np.array(ids, "<u4").tobytes() != out[i]:
-                self.unlike.add(units[i])
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.plain:
-            return self._whole(texts)
-        raw = [(" " + t.replace(MARK, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        return by_units(raw, _before_spaces, self._look)
-
-    def check(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
-        """Are these the ids that SentencePiece gives? If all units agreed when first seen, so do the texts."""
-        if self.plain and not self.unlike:
-            return [True] * len(texts)
-        return [np.array_equal(a, b) for a, b in zip(self.reference.encode(texts, num_threads=1), ids, strict=True)]
-
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """Texts by the library's decoder."""
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """The bytes of the pieces in a row, without the dummy prefix."""
-        raw = b"".join([self.bytes[i] for i in ids.tolist()])
-        return raw[1:] if self.model.dummy_prefix and raw[:1] == b" " else raw
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def check(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Are these the ids that SentencePiece gives for each whole text?"""
+        return [a == b for a, b in zip(self.reference.encode(texts, num_threads=self.threads), ids, strict=True)]
 
-def _before_spaces(buf: np.ndarray) -> np.ndarray:
-    """A space that follows something else; the first unit of a text begins anyway."""
-    space = buf == 0x20
-    return space[:-1] & ~np.concatenate([[False], space[:-2]])
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """Texts by the library's decoder."""
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-def coder(path: str, threads: int = 1) -> PieceCoder:
+def coder(path: str, threads: int = 2) -> PieceCoder:
     if (path, threads) not in _coders:
         _coders[path, threads] = PieceCoder(path, threads)
     return _coders[path, threads]
 
 
-def encode(docs: DataFrame, model: str, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
     """doc_id, ids, and whether SentencePiece gives the same, of every text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(model, threads)
         for batch in parts:
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 21):
                 ids = code.encode(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(code.check(texts, ids))], ["doc_id", "ids", "parity"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, ids array<long>, parity boolean")
 
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
+def decode(encoded: DataFrame, model: str, threads: int = 2) -> DataFrame:
     """doc_id and text of each (doc_id, ids)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(model)
+        code = coder(model, threads)
         for batch in parts:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.decode([np.array(x) for x in batch.column(1).to_pylist()]), pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code.decode(batch.column(1).to_pylist()), pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, model: str) -> DataFrame:
+def digests(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), parity with SentencePiece, and whether decoding gives the text back."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(model)
+        code = coder(model, threads)
         for batch in parts:
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 21):
                 ids = code.encode(texts)
-                back = [code.decode_bytes(a) == b.replace(MARK, " ").encode("utf-8", "surrogatepass") for a, b in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(code.check(texts, ids)), pa.array(back)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
+                back = [a == b for a, b in zip(code.decode(ids), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(array("I", x).tobytes()) for x in ids], pa.int64()), pa.array(code.check(texts, ids)), pa.array(back)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")
