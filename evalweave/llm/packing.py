@@ -11,14 +11,17 @@ tokens fill windows whose sizes are powers of two, so no padding is left.
 
 The plan names pieces by length and rank. Ranks come from one range-partitioned sort
 of (length, doc_id, start) rows: a hot length spreads over many tasks. Only documents
-with a cut piece are encoded again for the checksums of their parts.
+with a cut piece are encoded again for the checksums of their parts; such a document is
+known by its doc_id and the SHA-256 of its text.
 
 Edge cases: a null text is empty and has the end id alone; rows without doc_id are
-packed too; of rows that repeat a doc_id each is packed; an empty table gives no piece.
+packed too; of rows that repeat a doc_id each is packed, with its own text's checksums;
+an empty table gives no piece.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict, deque
@@ -31,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import batches, stage, texts_of
+from evalweave.llm.common import batches, discard, near_slots, stage, texts_of
 from evalweave.llm.units import encoder
 
-#: Documents with cuts are broadcast up to this many, joined by shuffle beyond.
-SMALL = 10_000
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sha binary"
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sha"]
 
 
 class Run(NamedTuple):
@@ -165,19 +168,21 @@ class Planner:
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of whole windows and remainders."""
+    """doc_id, start, length, ids_crc32, doc_tokens, sha (of the text) of whole windows and remainders."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in parts:
             rows: list[tuple] = []
             for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
-                for doc_id, ids in zip(some, enc.encode(texts), strict=True):
+                for doc_id, text, ids in zip(some, texts, enc.encode(texts), strict=True):
                     ids = np.append(ids, end).astype("<u4")
-                    rows += [(doc_id, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size].tobytes()), len(ids)) for at in range(0, len(ids), size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    sha = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+                    rows += [(doc_id, at, min(size, len(ids) - at), zlib.crc32(ids[at : at + size].tobytes()), len(ids), sha) for at in range(0, len(ids), size)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], _NAMES)
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts_of(docs).mapInArrow(run, _PIECE)
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
@@ -194,15 +199,16 @@ def _ranked(pieces: DataFrame) -> DataFrame:
                 seen[int(x)] += int(b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(place)], [*batch.schema.names, "part", "place"])
 
-    ordered = pieces.repartitionByRange("length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start", "ids_crc32")
-    return ordered.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long")
+    ordered = pieces.repartitionByRange("length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start", "sha")
+    return ordered.mapInArrow(run, f"{_PIECE}, part int, place long")
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    pieces, _ = stage(pieces_of(docs, tokenizer, size, end_id), "pieces")
-    ranked, _ = stage(_ranked(pieces), "ranked")
+    pieces, pieces_path = stage(pieces_of(docs, tokenizer, size, end_id), "pieces")
+    ranked, ranked_path = stage(_ranked(pieces), "ranked")
+    discard(spark, pieces_path)
     # a row for each part and length: sorted by length, so at most parts + lengths rows
     groups = sorted((r.length, r.part, r.n) for r in ranked.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
     histogram: dict[int, int] = defaultdict(int)
@@ -232,27 +238,32 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2) ->
             if rows:
                 row, (skip, n, window, offset) = np.concatenate(rows), np.concatenate(out, axis=1)
                 t = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(t.column("start").to_numpy() + skip), pa.array(n), t.column("ids_crc32"), t.column("doc_tokens"), pa.array(window), pa.array(offset), pa.array(n != t.column("length").to_numpy())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cut"])
-
-    placed, _ = stage(ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cut boolean"), "placed")
-    cuts = placed.where("cut").groupBy("doc_id", "doc_tokens").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
-    cuts, _ = stage(cuts, "cuts")
-    texts = texts_of(docs)
-    near = F.broadcast(cuts) if cuts.count() <= SMALL else cuts
-    again = texts.join(near.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "doc_tokens", "cuts")
+                yield pa.RecordBatch.from_arrays([t.column("doc_id"), pa.array(t.column("start").to_numpy() + skip), pa.array(n), t.column("ids_crc32"), t.column("doc_tokens"), t.column("sha"), pa.array(window), pa.array(offset), pa.array(n != t.column("length").to_numpy())], [*_NAMES, "sequence_id", "offset", "cut"])
+
+    placed, _ = stage(ranked.mapInArrow(place, f"{_PIECE}, sequence_id long, offset long, cut boolean"), "placed")
+    discard(spark, ranked_path)
+    # rows with one doc_id and one text have their cuts listed together
+    cuts = placed.where("cut").groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
+    cuts, cuts_path = stage(cuts, "cuts")
+    texts = texts_of(docs).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    near, _ = near_slots(texts, cuts, ["sha"])
+    wanted = cuts.select(F.col("doc_id").alias("of"), F.col("sha").alias("of_sha"), "cuts").hint("merge")
+    again = near.join(wanted, (F.col("sha") == F.col("of_sha")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "cuts")
 
     def recount(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in parts:
             rows: list[tuple] = []
-            for doc_id, text, n, pieces_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, pieces_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.append(enc.encode([text])[0], end).astype("<u4")
-                if len(ids) == n:  # else another row with this doc_id
-                    rows += [(doc_id, c["start"], c["length"], zlib.crc32(ids[c["start"] : c["start"] + c["length"]].tobytes()), n, c["sequence_id"], c["offset"]) for c in pieces_]
+                rows += [(doc_id, c["start"], c["length"], zlib.crc32(ids[c["start"] : c["start"] + c["length"]].tobytes()), len(ids), c["sequence_id"], c["offset"]) for c in pieces_]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    kept = placed.where("NOT cut").drop("cut")
-    return kept.unionByName(again.mapInArrow(recount, kept.schema).dropDuplicates(["sequence_id", "offset"]))
+    kept = placed.where("NOT cut").drop("cut", "sha")
+    # equal rows give each of their pieces once more
+    counted, _ = stage(again.mapInArrow(recount, kept.schema).dropDuplicates(["sequence_id", "offset"]), "recounted")
+    discard(spark, cuts_path)
+    return kept.unionByName(counted)
 
 
 def sequences(pieces: DataFrame, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
