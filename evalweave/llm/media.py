@@ -1,10 +1,13 @@
 """Netpbm and BMP images as columns: decoded to arrays, area-resized, tiled and hashed.
 
 Any bytes can be stored losslessly as an 8-bit grey image: 64 samples a row, the last
-row filled up with zeros.
+row filled up with zeros. Images are written to a table, read back and decoded; their
+tiles are written to another, as NPY files, and read back for the features.
 
 Edge cases: a null or empty text is one row of zeros; bytes that aren't a whole image
-of a known kind decode to an error; rows that repeat a doc_id are each stored.
+of a known kind, or have a sample out of range, decode to an error; rows that repeat a
+doc_id are each stored. Memory follows the longest text a few times: integral images
+are made block by block.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evalweave.llm.common import stage, texts_of
 from evalweave.llm.units import forget
@@ -40,7 +45,7 @@ def encode_bmp(image: np.ndarray) -> bytes:
     height, width = image.shape[:2]
     rows = np.ascontiguousarray(image if grey else image[:, :, ::-1], np.uint8).reshape(height, -1)[::-1]
     rows = np.pad(rows, ((0, 0), (0, -rows.shape[1] % 4)))
-    palette = np.repeat(np.arange(256, dtype=np.uint32) * 0x010101, 1).astype("<u4").tobytes() if grey else b""
+    palette = (np.arange(256, dtype=np.uint32) * 0x010101).astype("<u4").tobytes() if grey else b""
     at = 54 + len(palette)
     head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", at + rows.size, 0, 0, at, 40, width, height, 1, 8 if grey else 24, 0, rows.size, 2835, 2835, 256 if grey else 0, 0)
     return head + palette + rows.tobytes()
@@ -76,7 +81,7 @@ def _netpbm(data: bytes) -> np.ndarray:
     if plain and bits:
         samples = np.frombuffer(bytes(c for c in data[at - 1 :] if c in b"01"), np.uint8) - 0x30
     elif plain:
-        samples = np.array(data[at - 1 :].split()[:n], np.int64)
+        samples = np.array([int(x) for x in data[at - 1 :].split()[:n]], np.int64)
     elif bits:
         rows = np.frombuffer(data, np.uint8, (width + 7) // 8 * height, at).reshape(height, -1)
         samples = np.unpackbits(rows, axis=1)[:, :width].ravel()
@@ -84,7 +89,10 @@ def _netpbm(data: bytes) -> np.ndarray:
         samples = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at)
     if len(samples) < n:
         raise ValueError("samples are missing")
-    samples = samples[:n].reshape((height, width, 3) if colour else (height, width))
+    samples = samples[:n]
+    if not bits and (samples.min() < 0 or samples.max() > top):
+        raise ValueError("a sample is out of range")
+    samples = samples.reshape((height, width, 3) if colour else (height, width))
     if bits:
         return np.where(samples, 0, 255).astype(np.uint8)
     return samples.astype(np.uint8) if top == 255 else (samples.astype(np.int64) * 255 // top).astype(np.uint8)
@@ -119,18 +127,33 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Exact area means, by an integral image read between its points."""
-    total = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+def _lines(grey: np.ndarray, edges: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    """Rows of the integral image's row sums at ``edges`` (ascending, 0 to height), made a block of rows at a time."""
+    out = np.zeros((len(edges), grey.shape[1]))
+    before = np.zeros(grey.shape[1])
+    for at in range(0, grey.shape[0], block):
+        sums = np.cumsum(grey[at : at + block], axis=0, dtype=np.float64)
+        sums += before
+        a, b = np.searchsorted(edges, [at + 1, at + len(sums) + 1])
+        out[a:b] = sums[edges[a:b] - at - 1]
+        before = sums[-1].copy()
+    return out
 
-    def between(x: np.ndarray, n: int, axis: int) -> np.ndarray:
-        edge = np.linspace(0, x.shape[axis] - 1, n + 1)
-        low = np.minimum(edge.astype(np.int64), x.shape[axis] - 2)
-        part = (edge - low).reshape((-1, 1) if axis == 0 else (1, -1))
-        return x.take(low, axis) * (1 - part) + x.take(low + 1, axis) * part
 
-    corner = between(between(total, height, 0), width, 1)
+def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Exact area means, by an integral image read between its points."""
+    edge = np.linspace(0, grey.shape[0], height + 1)
+    low = np.minimum(edge.astype(np.int64), grey.shape[0] - 1)
+    points, where = np.unique(np.concatenate([low, low + 1]), return_inverse=True)
+    lines = _lines(grey, points)[where]
+    part = (edge - low)[:, None]
+    lines = lines[: height + 1] * (1 - part) + lines[height + 1 :] * part
+    total = np.zeros((height + 1, grey.shape[1] + 1))
+    np.cumsum(lines, axis=1, out=total[:, 1:])
+    edge = np.linspace(0, grey.shape[1], width + 1)
+    low = np.minimum(edge.astype(np.int64), grey.shape[1] - 1)
+    part = edge - low
+    corner = total[:, low] * (1 - part) + total[:, low + 1] * part
     sums = np.diff(np.diff(corner, axis=0), axis=1)
     return sums * (height * width / (grey.shape[0] * grey.shape[1]))
 
@@ -195,28 +218,34 @@ def tiles(images: DataFrame, side: int = 32) -> DataFrame:
     return images.select("doc_id", "media").mapInArrow(run, "doc_id long, height long, width long, tile binary, dhash string, error string")
 
 
-def digests(images: DataFrame) -> DataFrame:
-    """Digests of what the stored images decode to, and their features: difference hash and digest of the tile."""
+def _payloads(images: DataFrame, side: int = 32) -> DataFrame:
+    """Digests of what the stored images decode to, with their NPY tiles and difference hashes."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tile", "dhash"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in parts:
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for data in batch.column(2).to_pylist():
+            rows = []
+            for doc_id, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 grey = decode(data)
-                payload = grey.tobytes()
-                out["payload_bytes"].append(len(payload))
-                out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(payload[-64:]))
-                out["media_bytes"].append(len(data))
-                out["media_sha256"].append(hashlib.sha256(data).hexdigest())
-                out["feature"].append(f"{difference_hash(grey)}:{zlib.crc32(npy_tile(grey)):08x}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.values())], ["doc_id", "n_bytes", *out])
+                payload = memoryview(np.ascontiguousarray(grey)).cast("B")
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), npy_tile(grey, side), difference_hash(grey)))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tile binary, dhash string"
+    return images.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
 
-    return images.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+@F.arrow_udf(StringType())
+def _feature(dhash: pa.Array, tile: pa.Array) -> pa.Array:
+    """The difference hash and the CRC of the tile's samples, as NPY reads them."""
+    return pa.array([f"{h}:{zlib.crc32(np.load(io.BytesIO(t)).tobytes()):08x}" for h, t in zip(dhash.to_pylist(), tile.to_pylist(), strict=True)], pa.string())
 
 
-def text_media(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Store every text as an image, read the files back, and give their digests and where they lie."""
+def text_media(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """Store every text as an image, write the tiles of what is read back, and give their digests and where both lie."""
     images, path = stage(store(docs), "media")
-    return digests(images), path
+    tiled, tiles_path = stage(_payloads(images), "tiles")
+    return tiled.withColumn("feature", _feature("dhash", "tile")).drop("dhash", "tile"), path, tiles_path
