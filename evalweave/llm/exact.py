@@ -14,10 +14,10 @@ told apart by their text and each is returned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalweave.llm.common import discard, stage, texts_of, without
+from evalweave.llm.common import discard, near_slots, packed, stage, texts_of, without
 
 _END = 2**31 - 1
 
@@ -78,6 +78,20 @@ def exact_duplicates(docs: DataFrame, first_width: int = 64, factor: int = 8) ->
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, one for each text, with all their columns; rows without doc_id stay.
+
+    Of rows that share doc_id and normalised text the one with the most code points stays,
+    then the first text.
+    """
     found = exact_duplicates(docs)
-    return without(docs, found.where("NOT kept").join(found.where("kept").select("doc_id"), "doc_id", "left_anti"))
+    per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
+    per_id, path = stage(per_id.where("n > 1 OR NOT kept"), "copies")
+    clear = without(docs, per_id)
+    # a doc_id of several rows: each row is judged by its own text
+    rows, _ = near_slots(packed(docs), per_id.where("n > 1"), ["doc_id"])
+    rows = rows.withColumns({"sha": F.sha2(normalised(F.coalesce("text", F.lit(""))), 256), "n_cp": F.coalesce(F.length("text"), F.lit(0))})
+    stay = found.where("kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct()
+    several = per_id.where("n > 1").select("doc_id").join(stay, "doc_id").hint("merge")
+    first = Window.partitionBy("doc_id", "sha").orderBy(F.col("n_cp").desc(), F.col("text"))
+    several = rows.join(several, ["doc_id", "sha"], "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+    return clear.unionByName(several.select("row.*"))

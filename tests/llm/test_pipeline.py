@@ -38,7 +38,6 @@ def test_stages(spark, tmp_path):
             assert all(r == before[i] for i, r in after.items())
         before = after
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = docs.collect()
     assert {p.doc_id for p in pieces} == set(before)
     for p in pieces:
