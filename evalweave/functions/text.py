@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalweave.functions.semantics import words
+from evalweave.functions.stemming import stem
 
 # Phrasings that count as an abstention, tried in this order.
 ABSTENTIONS = [
@@ -39,17 +42,25 @@ NUMBER_WORDS = {
     "first": "1", "second": "2", "third": "3", "fourth": "4", "fifth": "5", "sixth": "6", "seventh": "7", "eighth": "8", "ninth": "9", "tenth": "10",
 }
 # Words that carry no content.
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should can may might of in on at to for with by from about into as and or but if this that these those it its i you he she we "
-    "they them his her their my our your said says say also just then than so too very out up down off over under video protagonist picture screen image shows shown appears appear appeared scene wearing wore one two"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "can", "may", "might", "of",
+    "in", "on", "at", "to", "for", "with", "by", "from", "about", "into", "as", "and", "or", "but", "if", "this", "that", "these", "those", "it", "its", "i", "you", "he",
+    "she", "we", "they", "them", "his", "her", "their", "my", "our", "your", "said", "says", "say", "also", "just", "then", "than", "so", "too", "very", "out", "up", "down", "off",
+    "over", "under", "video", "protagonist", "picture", "screen", "image", "shows", "shown", "appears", "appear", "appeared", "scene", "wearing", "wore", "one", "two",
+]
 # Colour names.
-COLOURS = "red|blue|green|yellow|orange|purple|pink|black|white|brown|gray|grey|cyan|magenta|golden|silver|beige|maroon|navy|teal|violet|indigo"
+COLOURS = ["red", "blue", "green", "yellow", "orange", "purple", "pink", "black", "white", "brown", "gray", "grey", "cyan", "magenta", "golden", "silver", "beige", "maroon", "navy", "teal", "violet", "indigo"]
 # Units that may follow a number.
-UNITS = r"yen|dollar|dollars|\$|€|£|%|kg|cm|mm|m|km|lbs?|oz|ml|liters?|minutes?|seconds?|hours?|mph|km/h|points?|goals?"
+UNITS = ["yen", "dollar", "dollars", r"\$", "€", "£", "%", "kg", "cm", "mm", "m", "km", "lbs?", "oz", "ml", "liters?", "minutes?", "seconds?", "hours?", "mph", "km/h", "points?", "goals?"]
+# Patterns of numbers, clock times, names and quoted terms.
 _NUMBER = r"\b\d[\d,\.]*\b"
 _CLOCK = r"\b\d{1,2}:\d{2}(?::\d{2})?\b"
 _NAME = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+_QUOTED = "[\"“”](.*?)[\"“”]"
+# Where an answer's letter stands, in the order in which these are tried.
+LEADING, BRACKETED, NAMED, ANY = "^([A-E])", r"\(([A-E])\)", r"(?i)(?:answer|option)\s*(?:is\s*)?[:\s]*\(?([A-E])\)?", "([A-E])"
+FINAL, BRACKETED_ANY, ALONE, WORD = r"[Ff]inal\s+[Aa]nswer\s*[:：]\s*\(?([A-Ea-e])\)?", r"\(([A-Ea-e])\)", r"(?m)^\s*([A-Ea-e])\s*$", r"(?U)\b([A-E])\b"
+MARKED = r"(?i)ANSWER\s*[:\-]?\s*\(?([A-E])\)?"
 
 
 def straightened(text: Column) -> Column:
@@ -73,16 +84,9 @@ def alnum_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z0-9]+)"), 1), F.lower)
 
 
-def _bound(f: Callable[..., Column], *values: Column) -> Column:
-    """``f`` of the values, each computed once: inside a lambda Spark computes an expression anew for every item."""
-    names = [f"v{i}" for i in range(len(values))]
-    one = F.array(F.struct(*(v.alias(n) for v, n in zip(values, names, strict=True))))
-    return F.get(F.transform(one, lambda x: f(*(x[n] for n in names))), F.lit(0))
-
-
 def lcs_length(a: Column, b: Column, most: int = 2_000_000, head: int = 1000) -> Column:
     """Length of the longest common subsequence of two arrays; over ``most`` cells both are cut to ``head`` items."""
-    return _bound(lambda x, y: _bound(_lcs, *_shortened(x, y, most, head)), a, b)
+    return _lcs(*_shortened(a, b, most, head))
 
 
 def _shortened(a: Column, b: Column, most: int, head: int) -> list[Column]:
@@ -90,28 +94,62 @@ def _shortened(a: Column, b: Column, most: int, head: int) -> list[Column]:
     return [F.when(long, F.slice(x, 1, head)).otherwise(x) for x in (a, b)]
 
 
-def _lcs(a: Column, b: Column) -> Column:
-    start = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: bit j of ``free`` is unset where column j of the last row steps up."""
+    at: dict[str, int] = {}
+    for j, item in enumerate(b):
+        at[item] = at.get(item, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    free = full
+    for item in a:
+        hit = free & at.get(item, 0)
+        free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
+
+
+def shared_runs(a: list[str], b: list[str], n: int) -> int:
+    """Size of the multiset intersection of two lists' runs of ``n`` items."""
+    x, y = (Counter(zip(*(items[i:] for i in range(n)), strict=False)) for items in (a, b))
+    return (x & y).total()
+
+
+def _of_lists(f: Callable[[list[str], list[str]], int]) -> Callable[[Column, Column], Column]:
+    """A function of two arrays of strings, batch by batch; null if either is null."""
+
+    @F.arrow_udf(T.IntegerType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else f(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+    return run
+
+
+_lcs = _of_lists(common_subsequence)
 
-    def row(before: Column, item: Column) -> Column:
-        def cell(now: Column, j: Column) -> Column:
-            left = F.element_at(now, -1)
-            up, corner = F.get(before, j), F.get(before, j - 1)
-            return F.concat(now, F.array(F.when(F.get(b, j - 1) == item, corner + 1).otherwise(F.greatest(up, left))))
 
-        return F.when(F.size(b) == 0, before).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(F.lit(0)), cell))
+def _clipped(a: Column, b: Column, n: int) -> Column:
+    return _of_lists(lambda x, y: shared_runs(x, y, n))(a, b)
 
-    return F.element_at(F.aggregate(a, start, row), -1)
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(tokens: pa.Array) -> pa.Array:
+    """Tokens of over three letters as their stems."""
+    return pa.array([None if t is None else [stem(w) if len(w) > 3 else w for w in t] for t in tokens.to_pylist()], pa.list_(pa.string()))
 
-def rouge_l(hypothesis: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of tokens; 0 if either is empty."""
 
-    def f1(h: Column, r: Column, n: Column) -> Column:
-        p, q = F.try_divide(n, F.size(h)), F.try_divide(n, F.size(r))
-        return F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))
+def _f1(shared: Column, a: Column, b: Column) -> Column:
+    """F1 of what is shared, by both sizes; 0 if either is empty."""
+    return F.coalesce(F.try_divide(2 * shared.cast("double"), a + b), F.lit(0.0))
 
-    return _bound(lambda h, r: _bound(f1, h, r, lcs_length(h, r).cast("double")), alnum_tokens(hypothesis), alnum_tokens(reference))
+
+def _tokens(text: Column, stems: bool) -> Column:
+    return stemmed(alnum_tokens(text)) if stems else alnum_tokens(text)
+
+
+def rouge_l(hypothesis: Column, reference: Column, stems: bool = False, most: int = 2_000_000) -> Column:
+    """F1 of the longest common subsequence of tokens; 0 if either is empty. Over ``most`` cells both are cut."""
+    h, r = _tokens(hypothesis, stems), _tokens(reference, stems)
+    x, y = _shortened(h, r, most, 1000)
+    return _f1(_lcs(x, y), F.size(h), F.size(r))
 
 
 def salient_tokens(text: Column) -> Column:
@@ -165,18 +203,18 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 def answer_letter(raw: Column) -> Column:
     """A to E: a leading one, one in parentheses, "answer is X", or the first there is."""
     t = F.trim(raw)
-    return F.coalesce(_found(t, "^([A-E])"), _found(t, r"\(([A-E])\)"), F.upper(_found(t, r"(?i)(?:answer|option)\s*(?:is\s*)?[:\s]*\(?([A-E])\)?")), _found(t, "([A-E])"), F.lit(""))
+    return F.coalesce(_found(t, LEADING), _found(t, BRACKETED), F.upper(_found(t, NAMED)), _found(t, ANY), F.lit(""))
 
 
 def final_letter(raw: Column) -> Column:
     """A to E: after "Final Answer:", one in parentheses, one alone on its line, or the first that stands alone."""
-    return F.coalesce(F.upper(_found(raw, r"[Ff]inal\s+[Aa]nswer\s*[:：]\s*\(?([A-Ea-e])\)?")), F.upper(_found(raw, r"\(([A-Ea-e])\)")), F.upper(_found(raw, r"(?m)^\s*([A-Ea-e])\s*$")), _found(raw, r"(?U)\b([A-E])\b"), F.lit(""))
+    return F.coalesce(F.upper(_found(raw, FINAL)), F.upper(_found(raw, BRACKETED_ANY)), F.upper(_found(raw, ALONE)), _found(raw, WORD), F.lit(""))
 
 
 def committed_letter(raw: Column, choices: Column) -> Column:
     """A to E: the last "ANSWER: X", else as :func:`answer_letter`, the longest choice named in full before the last resort."""
     t = F.trim(raw)
-    marked = F.try_element_at(F.regexp_extract_all(t, F.lit(r"(?i)ANSWER\s*[:\-]?\s*\(?([A-E])\)?"), 1), F.lit(-1))
+    marked = F.try_element_at(F.regexp_extract_all(t, F.lit(MARKED), 1), F.lit(-1))
 
     def hit(c: Column, i: Column) -> Column:
         word = F.lower(F.trim(c))
@@ -186,7 +224,7 @@ def committed_letter(raw: Column, choices: Column) -> Column:
 
     named = F.get(F.array_sort(F.filter(F.transform(choices, hit), lambda h: h["n"].isNotNull())), F.lit(0))["i"]
     letters = F.substring(F.lit("ABCDE"), named + 1, F.lit(1))
-    return F.coalesce(F.upper(marked), _found(t, "^([A-E])"), _found(t, r"\(([A-E])\)"), F.upper(_found(t, r"(?i)(?:answer|option)\s*(?:is\s*)?[:\s]*\(?([A-E])\)?")), letters, _found(t, "([A-E])"), F.lit(""))
+    return F.coalesce(F.upper(marked), _found(t, LEADING), _found(t, BRACKETED), F.upper(_found(t, NAMED)), letters, _found(t, ANY), F.lit(""))
 
 
 def options(text: Column, least: int = 4) -> tuple[Column, Column]:
@@ -201,7 +239,7 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def stem(path: Column) -> Column:
+def file_stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]*$", "")
 
 
@@ -253,9 +291,9 @@ def key_entities(text: Column) -> Column:
     def every(pattern: str, group: int = 1) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), group)
 
-    united = F.transform(every(rf"(?iU)(\b\d[\d,\.]*\s*(?:{UNITS})\b)"), lambda x: F.trim(F.lower(x)))
-    quoted = F.transform(every("[\"“”](.*?)[\"“”]"), lambda x: F.lower(F.trim(x)))
-    colours = F.transform(every(rf"(?iU)\b({COLOURS})\b"), F.lower)
+    united = F.transform(every(rf"(?iU)(\b\d[\d,\.]*\s*(?:{'|'.join(UNITS)})\b)"), lambda x: F.trim(F.lower(x)))
+    quoted = F.transform(every(_QUOTED), lambda x: F.lower(F.trim(x)))
+    colours = F.transform(every(rf"(?iU)\b({'|'.join(COLOURS)})\b"), F.lower)
     names = F.filter(every(f"(?U)({_NAME})"), lambda x: F.length(x) > 2)
     out = united
     for more in (every(f"(?U)({_NUMBER})"), every(f"(?U)({_CLOCK})"), colours, quoted, names):
@@ -309,7 +347,7 @@ def colours_match(reference: Column, prediction: Column) -> Column:
     """Are all colours of the reference in the prediction? Null if it has none."""
 
     def found(t: Column) -> Column:
-        return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(rf"(?iU)\b({COLOURS})\b"), 1), F.lower))
+        return F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(rf"(?iU)\b({'|'.join(COLOURS)})\b"), 1), F.lower))
 
     r = found(reference)
     return F.when(F.size(r) > 0, F.size(F.array_except(r, found(prediction))) == 0)
@@ -327,39 +365,44 @@ def token_overlap(prediction: Column, reference: Column) -> tuple[Column, Column
     return F.size(F.array_intersect(r, words(F.lower(prediction)))), F.size(r)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Every run of ``n`` tokens, joined by blanks."""
-    at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-
-
-def _clipped(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
-    return _bound(lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g)))), a, b)
+def _runs(tokens: Column, n: int) -> Column:
+    return F.greatest(F.size(tokens) - n + 1, F.lit(0))
 
 
 def bleu(prediction: Column, reference: Column, n: int = 4, epsilon: float = 0.1) -> Column:
     """Sentence BLEU up to ``n``-grams of blank-separated lower-case words; a zero count becomes ``epsilon``."""
-    return _bound(lambda p, r: _bleu(p, r, n, epsilon), words(F.lower(prediction)), words(F.lower(reference)))
-
-
-def _bleu(p: Column, r: Column, n: int, epsilon: float) -> Column:
+    p, r = words(F.lower(prediction)), words(F.lower(reference))
     total = F.lit(0.0)
     for k in range(1, n + 1):
-        grams = ngrams(p, k)
-        count, size = _clipped(grams, ngrams(r, k)).cast("double"), F.greatest(F.lit(1), F.size(grams))
-        total = total + F.log(F.when(count == 0, F.lit(epsilon)).otherwise(count) / size)
+        count = _clipped(p, r, k).cast("double")
+        total = total + F.log(F.when(count == 0, F.lit(epsilon)).otherwise(count) / F.greatest(F.lit(1), _runs(p, k)))
     short = F.when(F.size(p) < F.size(r), F.exp(1 - F.size(r) / F.greatest(F.size(p), F.lit(1)))).otherwise(1.0)
-    none = _clipped(p, r) == 0
-    return F.when((F.size(p) == 0) | none, 0.0).otherwise(short * F.exp(total / n))
+    return F.when((F.size(p) == 0) | (_clipped(p, r, 1) == 0), 0.0).otherwise(short * F.exp(total / n))
+
 
+def rouge_n(prediction: Column, reference: Column, n: int = 1, stems: bool = False) -> Column:
+    """F1 of shared n-grams of tokens; ``stems``: tokens of over three letters count as their stems."""
+    p, r = _tokens(prediction, stems), _tokens(reference, stems)
+    return _f1(_clipped(p, r, n), _runs(p, n), _runs(r, n))
 
-def rouge_n(prediction: Column, reference: Column, n: int = 1) -> Column:
-    """F1 of shared n-grams of unstemmed tokens."""
-    def f1(p: Column, r: Column) -> Column:
-        return F.coalesce(F.try_divide(2 * _clipped(p, r).cast("double"), F.size(p) + F.size(r)), F.lit(0.0))
 
-    return _bound(lambda p, r: _bound(f1, ngrams(p, n), ngrams(r, n)), alnum_tokens(prediction), alnum_tokens(reference))
+def prompt_transcript(srt: Column, timestamps: bool = True, most: int | None = None) -> Column:
+    """A subtitle file for a prompt: no cue numbers, single blank lines, clock lines as ``[h:m:s --> h:m:s]`` or left out.
+
+    Over ``most`` characters it is cut to ``most`` - 64 and says so.
+    """
+    lines = F.transform(F.split(srt, "\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.filter(lines, lambda x: ~x.rlike(r"^\d+$"))
+    clock = r"^\d{2}:\d{2}:\d{2}[,\.]\d{3}\s+-->\s+\d{2}:\d{2}:\d{2}[,\.]\d{3}$"
+    if timestamps:
+        lines = F.transform(lines, lambda x: F.when(x.rlike(clock), F.concat(F.lit("["), F.regexp_replace(x, r"[,\.]\d{3}", ""), F.lit("]"))).otherwise(x))
+    else:
+        lines = F.filter(lines, lambda x: ~x.rlike(clock))
+    text = F.concat(F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", ""), F.lit("\n"))
+    if most is None:
+        return text
+    cut = F.concat(F.regexp_replace(F.substring(text, 1, most - 64), r"\s+$", ""), F.lit("\n[... transcript truncated ...]\n"))
+    return F.when(F.length(text) > most, cut).otherwise(text)
 
 
 def experiment_tag(*parts: tuple[Column, Column | str]) -> Column:

@@ -86,16 +86,20 @@ def two_hop(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return a.join(b, "dst").select("seed", "node").distinct().join(seeds.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
-def ring_donors(rows: DataFrame, key: str, group: str, buckets: int = 4096) -> DataFrame:
+def ring_donors(rows: DataFrame, key: str, group: str, buckets: int | None = None) -> DataFrame:
     """A donor of another group for each row: (key, donor), null if there is one group only.
 
-    Rows go round a ring ordered by a hash; a row's donor is the next one that isn't of its
-    group. Within a bucket of the ring that is a window; a bucket's last rows look into the
-    following buckets through their first rows of two different groups, a bounded table.
+    Rows go round a ring ordered by a hash of 60 bits; a row's donor is the next one that
+    isn't of its group. A bucket is an arc of the ring of about 100,000 rows, and a window;
+    its last rows look into the following buckets through their first rows of two different
+    groups: at most 2^16 buckets, so that this table has a bound.
     """
     from pyspark.sql import Window
 
-    h = rows.select(key, group, F.xxhash64(key).alias("__h")).withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("int"))
+    if buckets is None:
+        buckets = 1 << min(16, (rows.count() // 100_000).bit_length())
+    hashed = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("long")
+    h = rows.select(key, group, hashed.alias("__h")).withColumn("__b", F.floor(F.col("__h") / F.lit((1 << 60) // buckets)).cast("int"))
     w = Window.partitionBy("__b").orderBy("__h", key)
     # the first row of the next run of another group: its start is where the group changes
     marked = h.withColumn("__prev", F.lag(group).over(w)).withColumn("__start", F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col(group)), F.col(key)))

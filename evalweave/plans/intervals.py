@@ -44,12 +44,6 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", "event_id", at.alias("s"), (at + F.col("value") * 60).alias("e"))
 
 
-def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = F.struct(F.col("s").alias("start"), F.col("e").alias("end"))
-    rows = _segments(spark, sf_dir)
-    return rows.groupBy("user_id").agg(F.collect_list(F.when(F.col("event_id") % 2 == 0, seg)).alias("a"), F.collect_list(F.when(F.col("event_id") % 2 == 1, seg)).alias("b"), F.collect_list(seg).alias("all"))
-
-
 def _islands(keep: str) -> str:
     return f"""SELECT user_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM (
       SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM {_S} WHERE {keep})) GROUP BY user_id, g"""
@@ -57,7 +51,7 @@ def _islands(keep: str) -> str:
 
 @query(f"SELECT user_id, s, e FROM ({_islands('true')})")
 def d06_d16_merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_user(spark, sf_dir).select("user_id", F.explode(times.merged(F.col("all"))).alias("x")).select("user_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    return ranking.islands(_segments(spark, sf_dir), "user_id", "s", "e")
 
 
 @query(f"""
@@ -66,7 +60,8 @@ i AS (SELECT a.user_id, sum(greatest(0, least(a.e, b.e) - greatest(a.s, b.s))) A
 SELECT user_id, round(coalesce(i, 0) / (t - coalesce(i, 0)), 6) AS iou FROM u LEFT JOIN i USING (user_id)
 """)
 def d07_set_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_user(spark, sf_dir).select("user_id", F.round(times.iou(F.col("a"), F.col("b")), 6).alias("iou"))
+    rows = _segments(spark, sf_dir).withColumnsRenamed({"s": "start", "e": "end"})
+    return ranking.set_iou(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", 43_200.0).select("user_id", F.round("iou", 6).alias("iou"))
 
 
 @query("""
@@ -91,8 +86,7 @@ def d08_t16_overlap_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, min(s) AS first, max(e) AS last FROM " + _S + " GROUP BY 1")
 def a33_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = times.bounds(F.col("all"))
-    return _by_user(spark, sf_dir).select("user_id", b["start"].alias("first"), b["end"].alias("last"))
+    return _segments(spark, sf_dir).groupBy("user_id").agg(F.min("s").alias("first"), F.max("e").alias("last"))
 
 
 @query("SELECT event_id, CASE WHEN greatest(value, 80) > least(value, 80) AND least(100, greatest(value, 80)) > greatest(0, least(value, 80)) THEN greatest(0, least(value, 80.0)) END AS low, CASE WHEN least(100, greatest(value, 80)) > greatest(0, least(value, 80)) THEN least(100, greatest(value, 80.0)) END AS high FROM events")
@@ -110,9 +104,9 @@ def a37_d10_slot_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))))
 
 
-@query("SELECT event_id, i * value / 6 AS s, (i + 1) * value / 6 AS e FROM events, range(6) r(i) WHERE event_id % 20 = 0")
+@query("SELECT event_id, i * value / 6 AS s, (i + 1) * value / 6 AS e FROM events, range(6) r(i)")
 def d11_equal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 20 = 0").select("event_id", F.explode(times.windows(F.col("value"), 6)).alias("x"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(times.windows(F.col("value"), 6)).alias("x"))
     return rows.select("event_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
 
@@ -122,15 +116,29 @@ def d12_split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.explode(segs).alias("x")).select("event_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
 
-@query("""
-SELECT event_id, least(300, value + 20 + 30) - 0 <= 300 AND least(300, value + 20 + 30 + 20) - least(300, value + 50) >= 1 AS ahead FROM events
+_SHIFTED = """
+WITH v AS (SELECT event_id, value AS b, value + 20 AS e, 300.0::DOUBLE AS d, 20.0::DOUBLE AS z FROM events),
+m AS (SELECT *, unnest([{k: 1, f: e + 30, t: e + 30 + z}, {k: 2, f: b - 30 - z, t: b - 30}, CASE WHEN e + 30 + z > d THEN {k: 3, f: (e + 30) % d, t: (e + 30) % d + z} END,
+  CASE WHEN b - 30 - z < 0 THEN {k: 4, f: greatest(0, d + b - 30 - z), t: d + b - 30} END,
+  {k: 5, f: greatest(0, ((b + e) / 2 + d / 2) % d - z / 2), t: CASE WHEN ((b + e) / 2 + d / 2) % d < z / 2 THEN z ELSE ((b + e) / 2 + d / 2) % d + z / 2 END}]) AS c FROM v),
+w AS (SELECT event_id, b, e, d, c.k AS k, CASE WHEN c.k = 5 AND c.t > d THEN greatest(0, d - z) ELSE c.f END AS f, CASE WHEN c.k = 5 AND c.t > d THEN d ELSE c.t END AS t FROM m WHERE c IS NOT NULL),
+x AS (SELECT event_id, b, e, k, greatest(0, f) AS f, least(d, t) AS t FROM w)
+SELECT event_id, k, f, t FROM x WHERE t - f >= 1 AND NOT (f < e AND t > b)
+"""
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT event_id, f, t, row_number() OVER (PARTITION BY event_id ORDER BY k) AS i FROM ({_SHIFTED})),
+r AS (SELECT event_id, 0::BIGINT AS i, []::STRUCT(f DOUBLE, t DOUBLE)[] AS taken FROM events UNION ALL
+ SELECT c.event_id, c.i, CASE WHEN len(taken) < 2 AND len(list_filter(taken, lambda x: c.f < x.t AND c.t > x.f)) = 0 THEN list_append(taken, {{f: c.f, t: c.t}}) ELSE taken END FROM r JOIN c ON c.event_id = r.event_id AND c.i = r.i + 1),
+l AS (SELECT event_id, max_by(taken, i) AS taken FROM r GROUP BY 1)
+SELECT event_id, place, round(taken[place + 1].f, 6) AS s, round(taken[place + 1].t, 6) AS e FROM l, LATERAL (SELECT unnest(range(len(taken))) AS place)
 """)
 def d13_d14_shifted_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = F.array(times.segment(F.col("value"), F.col("value") + 20))
-    made = times.shifted(truth, F.lit(300.0), 30.0, far=True)
-    first = times.disjoint(made, truth, 2)
-    ahead = F.exists(first, lambda c: F.abs(c["start"] - F.col("value") - 50) < 1e-6)
-    return table(spark, sf_dir, "events").select("event_id", ahead.alias("ahead"))
+    made = times.disjoint(times.shifted(truth, F.lit(300.0), 30.0, far=True), truth, 2)
+    rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(made).alias("place", "x"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), F.round("x.start", 6).alias("s"), F.round("x.end", 6).alias("e"))
 
 
 @query("SELECT event_id, list_distinct([floor((i + 0.5) * value / n)::BIGINT FOR i IN range(n)]) AS frames FROM (SELECT event_id, value, 8 AS n FROM events WHERE value > 0)".replace("list_distinct([floor((i + 0.5) * value / n)::BIGINT FOR i IN range(n)])", "list_sort(list_distinct(list_transform(range(8), lambda i: floor((i + 0.5) * value / 8)::BIGINT)))"))
@@ -153,16 +161,24 @@ def w10_least_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.kept_changes(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 150.0, 40).select("event_id")
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT DISTINCT user_id, epoch_us(ts) / 1e6 AS s FROM events), n AS (SELECT user_id, s, min(s) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 FOLLOWING AND UNBOUNDED FOLLOWING) AS t FROM p),
+r AS (SELECT user_id, min(s) AS s FROM p GROUP BY 1 UNION ALL SELECT n.user_id, n.t FROM r JOIN n ON n.user_id = r.user_id AND n.s = r.s WHERE n.t IS NOT NULL)
+SELECT user_id, s AS kept FROM r
+""")
 def w11_greedy_gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segments(spark, sf_dir).groupBy("user_id").agg(F.collect_list("s").alias("points"))
-    return rows.select("user_id", F.explode(times.gap_merged(F.col("points"), 3600.0)).alias("kept"))
+    return ranking.gap_merged(_segments(spark, sf_dir), "user_id", "s", 3600.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_id::DOUBLE AS s, event_id + value AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, i, s AS f, e AS t, e - s < 30 AS held FROM o WHERE i = 1 UNION ALL
+ SELECT o.user_id, o.i, CASE WHEN r.held THEN r.f ELSE o.s END, o.e, NOT r.held AND o.e - o.s < 30 FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, f AS start, t AS "end" FROM r QUALIFY NOT held OR i = max(i) OVER (PARTITION BY user_id)
+""")
 def w13_short_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(times.segment(F.col("event_id"), F.col("event_id") + F.col("value")))).alias("segs"))
-    return rows.select("user_id", F.explode(times.short_merged(F.col("segs"), 30.0)).alias("x")).select("user_id", "x.start", "x.end")
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("double").alias("s"), (F.col("event_id") + F.col("value")).alias("e"))
+    return ranking.short_merged(rows, "user_id", "s", "e", 30.0)
 
 
 @query("""

@@ -138,22 +138,29 @@ def j15_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem), s AS (SELECT DISTINCT src FROM e WHERE src % 500 = 1)
+WITH e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem), s AS (SELECT DISTINCT src FROM e WHERE src % 50 = 0)
 SELECT DISTINCT a.src AS seed, b.src AS node FROM e a JOIN s ON a.src = s.src JOIN e b ON a.dst = b.dst WHERE b.src NOT IN (SELECT src FROM s)
 """)
 def j16_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return joins.two_hop(edges, edges.where("src % 500 = 1"))
+    return joins.two_hop(edges, edges.where("src % 50 = 0"))
 
 
-@query("""
-SELECT count(*) AS rows, count(*) AS other FROM documents
-""")
+#: Each document and the next one, round the ring of hashes, of another source.
+DONORS = """(
+WITH o AS (SELECT doc_id, source, row_number() OVER (ORDER BY left(md5(doc_id::VARCHAR), 15), doc_id) AS i FROM documents),
+s AS (SELECT *, CASE WHEN lag(source) OVER (ORDER BY i) IS DISTINCT FROM source THEN i END AS start FROM o),
+n AS (SELECT *, min(start) OVER (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM s)
+SELECT n.doc_id, d.doc_id AS donor, d.source AS donor_source FROM n LEFT JOIN o d ON d.i = coalesce(n.next, CASE WHEN n.source <> (SELECT source FROM o WHERE i = 1) THEN 1 ELSE (SELECT min(start) FROM s WHERE start > 1) END)
+)"""
+
+
+@query(f"SELECT doc_id, donor, donor_source FROM {DONORS}")
 def j17_donors_of_other_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    donors = joins.ring_donors(docs, "doc_id", "source")
+    donors = joins.ring_donors(docs, "doc_id", "source", 16)
     of = docs.select(F.col("doc_id").alias("donor"), F.col("source").alias("donor_source"))
-    return docs.join(donors, "doc_id").join(of, "donor", "left").agg(F.count("*").alias("rows"), F.count_if(F.col("donor_source") != F.col("source")).alias("other"))
+    return donors.join(of, "donor", "left").select("doc_id", "donor", "donor_source")
 
 
 @query("SELECT o_orderkey, coalesce(o_orderpriority, 'none') AS priority, c_mktsegment AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")

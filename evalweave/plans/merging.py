@@ -78,9 +78,9 @@ def k09_drop_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.drop_manifest(docs, docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi"), "doc_id", "unlabelled")
 
 
-@query("SELECT user_id, flatten(list([event_type, 'x'] ORDER BY event_id)) AS tags FROM events WHERE event_id < 500 GROUP BY 1")
+@query("SELECT user_id, flatten(list([event_type, 'x'] ORDER BY event_id)) AS tags FROM events GROUP BY 1")
 def a36_merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id < 500").select("user_id", "event_id", F.array("event_type", F.lit("x")).alias("tags"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.array("event_type", F.lit("x")).alias("tags"))
     return dedup.merge_lists(rows, "user_id", "event_id", "tags")
 
 

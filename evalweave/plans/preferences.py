@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evalweave.operators import metrics, pairs, ranking
 from evalweave.plans.evaluation import JUDGED, judged
+from evalweave.plans.joining import DONORS
 from evalweave.plans.registry import query, table
+from evalweave.plans.texts import DECLINES, KEYS, LCS, PLAIN
 
 
 @query("""
@@ -33,14 +35,21 @@ def x07_own_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.with_predictions(docs.select("doc_id"), said, "doc_id").select("doc_id", "rejected")
 
 
-@query("SELECT count(*) AS n, count(*) AS given FROM documents")
+@query(f"SELECT doc_id, donor_source AS rejected FROM {DONORS}")
 def x07_donated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("source").alias("answer"))
-    made = pairs.with_donors(rows, "doc_id", "source", "answer")
-    return made.agg(F.count("*").alias("n"), F.count_if(F.col("rejected") != F.col("source")).alias("given"))
+    return pairs.with_donors(rows, "doc_id", "source", "answer").select("doc_id", "rejected")
 
 
-@query()
+_DROPPED = "(SELECT b.item_id, b.text AS chosen, CASE b.item_id % 4 WHEN 0 THEN b.text WHEN 1 THEN 'I cannot see the video' WHEN 2 THEN 'too short' ELSE a.text END AS t FROM benchmark b JOIN benchmark a ON a.item_id + 1 = b.item_id)"
+
+
+@query(f"""
+WITH RECURSIVE {LCS.format(a='t', b='chosen', rows=_DROPPED)},
+k AS (SELECT p.*, rouge, {KEYS.format(t='chosen')} AS keys, {KEYS.format(t='t')} AS others FROM {_DROPPED} p JOIN l USING (item_id))
+SELECT drop_reason, count(*) AS n FROM (SELECT CASE WHEN lower(trim(chosen)) = lower(trim(t)) THEN 'same' WHEN t = '' OR regexp_matches({PLAIN}, {DECLINES}) THEN 'abstains' WHEN len(regexp_extract_all(t, '[A-Za-z0-9]+')) < 5 THEN 'short' WHEN rouge > 0.7 THEN 'alike'
+ WHEN len(keys) >= 3 AND len(list_intersect(keys, others)) >= 0.85 * len(keys) THEN 'keys' END AS drop_reason FROM k) GROUP BY 1
+""")
 def p12_screened_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("chosen"))
     other = b.select((F.col("item_id") + 1).alias("item_id"), F.col("chosen").alias("rejected"))

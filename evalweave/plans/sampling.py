@@ -80,7 +80,7 @@ def x06_split_before_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_brand, p_partkey) AS place FROM (SELECT * FROM part WHERE p_size >= 10 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 5)")
 def x08_playlist_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.capped(table(spark, sf_dir, "part").where("p_size >= 10"), ["p_brand"], [F.col("p_partkey")], 5)
-    return rows.select("p_partkey", "p_brand", F.row_number().over(Window.orderBy("p_brand", "p_partkey")).cast("long").alias("place"))
+    return ranking.numbered(rows.select("p_partkey", "p_brand"), ["p_brand", "p_partkey"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 3 ELSE 1 END")

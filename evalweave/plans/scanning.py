@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.plans.registry import query, table
 from evalweave.sources import readers, writers
+from evalweave.sources.scratch import folder as _folder
 from evalweave.streaming import jobs
 
-_own: list[str] = []
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors both reach it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="evalweave-scan-"))
-        root = _own[0]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def s01_k01_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +22,8 @@ def s01_k01_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s01_s03_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "array")
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    rows.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).coalesce(1).write.text(path)
+    writers.json_arrays(rows.where("n_nationkey < 12"), path)
+    writers.json_arrays(rows.where("n_nationkey >= 12"), path, mode="append")
     return readers.json_any(spark, path, "n_nationkey int, n_name string")
 
 
@@ -149,3 +136,10 @@ def st4_quota_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def st5_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return jobs.windowed_counts(rows, "ts", "event_type", "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_id, value * 2 AS twice, event_id // 100 AS save FROM events")
+def st5_saved_every_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, mark, stream = _folder(spark, "out"), _folder(spark, "mark"), _stream(spark, sf_dir)
+    jobs.save_every(stream, "event_id", 100, out, mark, lambda rows: rows.select("event_id", (F.col("value") * 2).alias("twice")))
+    return spark.read.parquet(out).select("event_id", "twice", F.col("save").cast("long").alias("save"))

@@ -35,10 +35,10 @@ def m09_exact_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, round(greatest(-0.1 * x, 0) + ln(1 + exp(-abs(0.1 * x))), 6) AS sigmoid, round(greatest(0, 1 - 0.1 * x), 6) AS hinge, round(pow(x - 5, 2), 6) AS ipo
-FROM (SELECT l_orderkey, l_linenumber, (l_quantity - l_linenumber) - (l_quantity / 2 - 7) AS x FROM lineitem WHERE l_orderkey < 500)
+FROM (SELECT l_orderkey, l_linenumber, (l_quantity - l_linenumber) - (l_quantity / 2 - 7) AS x FROM lineitem)
 """)
 def m05_preference_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    rows = table(spark, sf_dir, "lineitem")
     args = (F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_quantity") / 2, F.lit(7.0))
     return rows.select("l_orderkey", "l_linenumber", *(F.round(stats.preference_loss(*args, kind=k), 6).alias(k) for k in ("sigmoid", "hinge", "ipo")))
 
@@ -52,10 +52,10 @@ def m04_info_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.round(stats.info_nce(F.col("p"), negatives, 10.0), 6).alias("loss"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity - l_tax AS margin, round(l_quantity / greatest(1, l_linenumber) - l_tax / greatest(1, l_linenumber - 3), 9) AS per_token FROM lineitem WHERE l_orderkey < 500")
+@query("SELECT l_orderkey, l_linenumber, l_quantity - l_tax AS margin, round(l_quantity / greatest(1, l_linenumber) - l_tax / greatest(1, l_linenumber - 3), 9) AS per_token FROM lineitem")
 def m06_reference_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     margin, per = stats.reference_margin(F.col("l_quantity"), F.col("l_tax"), F.col("l_linenumber"), F.col("l_linenumber") - 3)
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select("l_orderkey", "l_linenumber", margin.alias("margin"), F.round(per, 9).alias("per_token"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", margin.alias("margin"), F.round(per, 9).alias("per_token"))
 
 
 @query("SELECT event_id, round(-pow(1 - p, 2) * ln(p), 9) AS focal FROM (SELECT event_id, (1 + event_id % 99) / 100.0::DOUBLE AS p FROM events)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.functions import semantics, text
@@ -16,9 +16,31 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", told.alias("told"))
 
 
-@query("SELECT event_id, event_id % 8 NOT IN (1, 5, 7) AS abstains, ['I cannot', NULL, 'Not enough information', 'The speaker doesn''t say', 'empty', NULL, 'It is not possible to', NULL][1 + event_id % 8] AS why FROM events")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _strings(listed: list[str]) -> str:
+    return "[" + ", ".join(map(_quoted, listed)) + "]"
+
+
+def _spark_strings(listed: list[str]) -> Column:
+    return F.array(*map(F.lit, listed))
+
+
+_OPENINGS = ["I cannot", "The slide shows", "Not enough information to", "The lecture doesn’t state", "", "It’s not  possible to tell, ", "sorry, I don't have", "it is not stated that", "There is no way that ", "Based on the audio alone we can't"]
+DECLINES = _quoted("(?i)" + "|".join(text.ABSTENTIONS))
+PLAIN = rf"trim(regexp_replace(translate(t, '’‘“”', {_quoted("''" + '""')}), '\s+', ' ', 'g'))"
+
+
+@query(f"""
+SELECT item_id, k, t = '' OR regexp_matches({PLAIN}, {DECLINES}) AS abstains, CASE WHEN t = '' THEN 'empty' ELSE nullif(regexp_extract({PLAIN}, {DECLINES}, 0), '') END AS why
+FROM (SELECT item_id, k, CASE WHEN k = 4 THEN '' ELSE o[k + 1] || ' ' || text END AS t FROM benchmark, (SELECT {_strings(_OPENINGS)} AS o), range({len(_OPENINGS)}) r(k))
+""")
 def f01_f02_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).select("event_id", text.abstains(F.col("told")).alias("abstains"), text.abstention(F.col("told")).alias("why"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.posexplode(_spark_strings(_OPENINGS)).alias("k", "o"))
+    rows = rows.select("item_id", F.col("k").cast("long").alias("k"), F.when(F.col("k") == 4, "").otherwise(F.concat("o", F.lit(" "), "text")).alias("t"))
+    return rows.select("item_id", "k", text.abstains(F.col("t")).alias("abstains"), text.abstention(F.col("t")).alias("why"))
 
 
 @query("SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS tokens FROM benchmark")
@@ -26,26 +48,42 @@ def f03_alnum_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.alnum_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+#: Rows of the table of common subsequences, one for each token of a.
+LCS = """
+b AS (SELECT item_id, list_transform(regexp_extract_all({a}, '[A-Za-z0-9]+'), lambda x: lower(x)) AS h, list_transform(regexp_extract_all({b}, '[A-Za-z0-9]+'), lambda x: lower(x)) AS r FROM {rows}),
+d AS (SELECT item_id, h, r, 0 AS i, list_transform(r, lambda x: 0) AS cells FROM b UNION ALL
+ SELECT item_id, h, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: greatest(cells[j], coalesce(list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN r[k] = h[i + 1] THEN 1 + CASE WHEN k = 1 THEN 0 ELSE cells[k - 1] END END)), 0))) FROM d WHERE i < len(h)),
+l AS (SELECT item_id, coalesce(2.0::DOUBLE * coalesce(cells[len(cells)], 0) / nullif(len(h) + len(r), 0), 0) AS rouge FROM d WHERE i = len(h))
+"""
+_FOLLOWED = "(SELECT b.item_id, b.text, a.text AS other FROM benchmark b JOIN benchmark a ON a.item_id + 1 = b.item_id)"
+
+
+@query(f"WITH RECURSIVE {LCS.format(a="other || ' end'", b='text', rows=_FOLLOWED)} SELECT item_id, round(rouge, 6) AS rouge FROM l")
 def f04_rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     other = b.select((F.col("item_id") + 1).alias("item_id"), F.concat("text", F.lit(" end")).alias("other"))
     return b.join(other, "item_id").select("item_id", F.round(text.rouge_l(F.col("other"), F.col("text")), 6).alias("rouge"))
 
 
-_KEYS = "list_distinct(list_concat(regexp_extract_all({t}, '\\b\\d+(?:\\.\\d+)?(?:e-?\\d+)?\\b'), list_transform(regexp_extract_all({t}, '\\b[A-Z][A-Za-z0-9]{{2,}}\\b'), lambda x: lower(x))))"
+KEYS = "list_distinct(list_concat(regexp_extract_all({t}, '\\b\\d+(?:\\.\\d+)?(?:e-?\\d+)?\\b'), list_transform(regexp_extract_all({t}, '\\b[A-Z][A-Za-z0-9]{{2,}}\\b'), lambda x: lower(x))))"
 
 
-@query(f"SELECT p_partkey, list_sort({_KEYS.format(t='t')}) AS keys FROM (SELECT p_partkey, p_name || ' costs ' || p_partkey::VARCHAR || '.5 in ' || p_brand AS t FROM part)")
+@query(f"SELECT p_partkey, list_sort({KEYS.format(t='t')}) AS keys FROM (SELECT p_partkey, p_name || ' costs ' || p_partkey::VARCHAR || '.5 in ' || p_brand AS t FROM part)")
 def f05_salient_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.col("p_name"), F.lit(" costs "), F.col("p_partkey").cast("string"), F.lit(".5 in "), F.col("p_brand"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(text.salient_tokens(t)).alias("keys"))
 
 
-@query("SELECT event_id, ['the 2 men', '12 apples and 1 pear', 'it s the 3'][1 + event_id % 3] AS plain FROM events")
+_DIGITS = "MAP {" + ", ".join(f"'{w}': '{d}'" for w, d in text.NUMBER_WORDS.items()) + "}"
+
+
+@query(rf"""
+SELECT item_id, array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: w <> ''), lambda w: coalesce({_DIGITS}[w], w)), ' ') AS plain
+FROM (SELECT item_id, regexp_replace(regexp_replace(text, 'the', 'Three', 'g'), 'an', 'twelve ', 'g') || ' It''s the THIRD-first!' AS t FROM benchmark)
+""")
 def f06_number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.expr("element_at(array('The two men!', 'Twelve apples, and one pear', 'it''s the THIRD'), cast(1 + event_id % 3 AS int))")
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(text.digits_for_words(told), " ").alias("plain"))
+    told = F.concat(F.regexp_replace(F.regexp_replace("text", "the", "Three"), "an", "twelve "), F.lit(" It's the THIRD-first!"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.digits_for_words(told), " ").alias("plain"))
 
 
 @query()
@@ -56,23 +94,48 @@ def f07_f08_choice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("event_id", "place", F.round(text.choice_score(F.col("told"), F.col("choice")), 6).alias("score"))
 
 
-@query("SELECT event_id, ['B', 'C', 'D', '', 'A', 'E'][1 + event_id % 6] AS letter, ['B', 'C', 'D', '', '', 'E'][1 + event_id % 6] AS final FROM events")
+_LETTERED = ["B", "it must be ({l}) then", "the answer is {l}", "no idea", "Answers vary", "Final Answer: {l}", "option: {l}", "I say\n{l}\nand go", "ANSWER: A no, ANSWER: {l}", "see {n} of them", "a {w} one"]
+
+
+def _tried(*patterns: tuple[str, bool]) -> str:
+    """Each pattern's group, or null where it isn't found, as SQL."""
+    return ", ".join(("upper(" if up else "(") + f"nullif(regexp_extract(t, {_quoted(p.replace('(?U)', ''))}, 1), ''))" for p, up in patterns)
+
+
+_LETTERED_ROWS = f"""(SELECT doc_id, k, trim(replace(replace(replace(o[k + 1], '{{l}}', substr('ABCDE', (1 + doc_id % 5)::INT, 1)), '{{n}}', n_chars::VARCHAR), '{{w}}', lang) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || left(text, 40) END) AS t, [n_chars::VARCHAR, lang, source] AS choices
+ FROM documents, (SELECT {_strings(_LETTERED)} AS o), range({len(_LETTERED)}) r(k) WHERE text IS NOT NULL)"""
+
+
+def _lettered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("string").alias("n"), F.posexplode(_spark_strings(_LETTERED)).alias("k", "o"))
+    letter = F.substring(F.lit("ABCDE"), (1 + F.col("doc_id") % 5).cast("int"), F.lit(1))
+    told = F.replace(F.replace(F.replace("o", F.lit("{l}"), letter), F.lit("{n}"), F.col("n")), F.lit("{w}"), F.col("lang"))
+    told = F.trim(F.concat(told, F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.substring("text", 1, 40)))))
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), told.alias("t"), F.array("n", "lang", "source").alias("choices"))
+
+
+@query(f"""
+SELECT doc_id, k, coalesce({_tried((text.LEADING, False), (text.BRACKETED, False), (text.NAMED, True), (text.ANY, False))}, '') AS letter,
+ coalesce({_tried((text.FINAL, True), (text.BRACKETED_ANY, True), (text.ALONE, True), (text.WORD, False))}, '') AS final FROM {_LETTERED_ROWS}
+""")
 def f10_answer_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.expr("element_at(array('B', 'it must be (C) then', 'the answer is D', 'no idea', 'Answers vary', 'Final Answer: E'), cast(1 + event_id % 6 AS int))")
-    first = F.expr("element_at(array('B', 'it must be (C) then', 'the answer is D', 'no idea', 'Answers vary', 'option: E'), cast(1 + event_id % 6 AS int))")
-    return table(spark, sf_dir, "events").select("event_id", text.answer_letter(first).alias("letter"), text.final_letter(told).alias("final"))
+    t = F.col("t")
+    return _lettered(spark, sf_dir).select("doc_id", "k", text.answer_letter(t).alias("letter"), text.final_letter(t).alias("final"))
 
 
-@query("SELECT event_id, ['C', 'B', 'D', 'A', ''][1 + event_id % 5] AS letter FROM events")
+@query(rf"""
+WITH c AS (SELECT doc_id, k, t, upper(regexp_extract_all(t, {_quoted(text.MARKED)}, 1)[-1]) AS marked,
+ (list_sort(list_filter(list_transform(range(1, 4), lambda i: {{'n': -length(choices[i]), 'i': i}}), lambda x: choices[x.i] <> '' AND regexp_matches(lower(t), '(^|[^A-Za-z0-9])' || replace(replace(lower(choices[x.i]), '.', '[.]'), '-', '[-]') || '([^A-Za-z0-9]|$)')))[1]).i AS named FROM {_LETTERED_ROWS})
+SELECT doc_id, k, coalesce(marked, {_tried((text.LEADING, False), (text.BRACKETED, False), (text.NAMED, True))}, substr('ABCDE', named, 1), {_tried((text.ANY, False))}, '') AS letter FROM c
+""")
 def f30_committed_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.expr("element_at(array('ANSWER: A no, ANSWER: C', 'it shows a red car', 'maybe (D)', 'see 3 of them', 'none'), cast(1 + event_id % 5 AS int))")
-    return table(spark, sf_dir, "events").select("event_id", text.committed_letter(told, F.array(F.lit("3"), F.lit("red car"), F.lit("car"), F.lit("33"))).alias("letter"))
+    return _lettered(spark, sf_dir).select("doc_id", "k", text.committed_letter(F.col("t"), F.col("choices")).alias("letter"))
 
 
 @query("SELECT page_id, regexp_replace(url, '.*/', '') AS base, regexp_replace(regexp_replace(url, '.*/', ''), '\\.[^.]*$', '') AS stem, regexp_replace(regexp_replace(lower(trim(url)), '[\\s\\-]+', '_', 'g'), '[^a-zA-Z0-9_]', '', 'g') AS file FROM pages")
 def f12_f13_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", text.basename(u).alias("base"), text.stem(u).alias("stem"), text.file_name(u).alias("file"))
+    return table(spark, sf_dir, "pages").select("page_id", text.basename(u).alias("base"), text.file_stem(u).alias("stem"), text.file_name(u).alias("file"))
 
 
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
@@ -84,7 +147,10 @@ def t13_f15_first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.first_words(t, 6).alias("head"), F.size(semantics.words(t)).alias("n"))
 
 
-@query()
+@query(f"""
+SELECT doc_id, CASE WHEN len(w) <= 30 THEN trim(text) WHEN length(regexp_extract(cut, '(?s)^(.*[.!?])', 1)) - 1 > 15 THEN left(cut, length(regexp_extract(cut, '(?s)^(.*[.!?])', 1))) ELSE cut END AS cut
+FROM (SELECT doc_id, text, w, array_to_string(w[1:30], ' ') AS cut FROM (SELECT doc_id, text, coalesce({_WORDS}, []) AS w FROM documents))
+""")
 def f14_sentence_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.sentence_cut(F.col("text"), 30).alias("cut"))
 
@@ -100,19 +166,72 @@ def f17_f24_blocks_and_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.without_block(t, "[T]", "[/T]").alias("rest"), text.any_word(F.col("text"), ["the", "que"]).alias("leaks"))
 
 
-_TOLD = ["Red car, 3 kg at 12:30", "He saw Paris and 1,200 birds", "nothing"]
+_INSERTS = ["Red car, 3 kg at 12:30", "He saw Paris and 1,200 birds", "nothing", "a “Blue Moon” for 7.50 dollars", "7.0 Points, 10:15:20 gold"]
+#: Benchmark texts with entities put before them. (Letters beyond ASCII are word characters here, but not for DuckDB.)
+_TEXTS = f"(SELECT item_id, k, o[k + 1] || ' ' || regexp_replace(text, '[^ -~]', 'x', 'g') AS t FROM benchmark, (SELECT {_strings(_INSERTS)} AS o), range({len(_INSERTS)}) r(k))"
+
+
+def _all(t: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract_all({t}, {_quoted(pattern)}, {group})"
+
+
+def _entities(t: str) -> str:
+    units, colours = "|".join(text.UNITS), "|".join(text.COLOURS)
+    united = f"list_transform({_all(t, rf'(?i)(\b\d[\d,\.]*\s*(?:{units})\b)')}, lambda x: trim(lower(x)))"
+    names = f"list_filter({_all(t, f'({text._NAME})')}, lambda x: length(x) > 2)"
+    quoted, colour = f"list_transform({_all(t, text._QUOTED)}, lambda x: trim(lower(x)))", f"list_transform({_all(t, rf'(?i)\b({colours})\b')}, lambda x: lower(x))"
+    return f"list_distinct(flatten([{united}, {_all(t, f'({text._NUMBER})')}, {_all(t, f'({text._CLOCK})')}, {colour}, {quoted}, {names}]))"
 
 
-@query("SELECT event_id, [['12', '12:30', '3', '3 kg', '30', 'Red', 'red'], ['1,200', 'Paris'], []][1 + event_id % 3] AS entities FROM events")
+def _plain_number(x: str) -> str:
+    n = f"TRY_CAST(replace({x}, ',', '') AS DOUBLE)"
+    return f"(CASE WHEN {n} IS NULL THEN lower(replace({x}, ',', '')) WHEN {n} = floor({n}) THEN {n}::BIGINT::VARCHAR ELSE rtrim(rtrim(printf('%.4f', {n}), '0'), '.') END)"
+
+
+def _inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.posexplode(_spark_strings(_INSERTS)).alias("k", "o"))
+    return rows.select("item_id", F.col("k").cast("long").alias("k"), F.concat("o", F.lit(" "), F.regexp_replace("text", "[^ -~]", "x")).alias("t"))
+
+
+@query(f"SELECT item_id, k, list_sort({_entities('t')}) AS entities FROM {_TEXTS}")
 def f18_key_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.element_at(F.array(*map(F.lit, _TOLD)), (1 + F.col("event_id") % 3).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_sort(text.key_entities(told)).alias("entities"))
+    return _inserted(spark, sf_dir).select("item_id", "k", F.array_sort(text.key_entities(F.col("t"))).alias("entities"))
+
 
+_NUMERALS = ["{p}", "{c},{c}", "{d}.50", "{d}.0", "x{d}Y", "1,{c}.25001"]
+_NUMERAL_ROWS = f"(SELECT o_orderkey, k, replace(replace(replace(o[k + 1], '{{p}}', printf('%.2f', o_totalprice)), '{{c}}', (100 + o_orderkey % 900)::VARCHAR), '{{d}}', o_custkey::VARCHAR) AS t FROM orders, (SELECT {_strings(_NUMERALS)} AS o), range({len(_NUMERALS)}) r(k))"
 
-@query("SELECT event_id, ['1200', '1.5', 'abc', '7'][1 + event_id % 4] AS plain FROM events")
+
+@query(f"SELECT o_orderkey, k, {_plain_number('t')} AS plain FROM {_NUMERAL_ROWS}")
 def f19_plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.expr("element_at(array('1,200', '1.5000', 'ABC', '7.0'), cast(1 + event_id % 4 AS int))")
-    return table(spark, sf_dir, "events").select("event_id", text.plain_number(told).alias("plain"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.posexplode(_spark_strings(_NUMERALS)).alias("k", "o"))
+    three = (100 + F.col("o_orderkey") % 900).cast("string")
+    t = F.replace(F.replace(F.replace("o", F.lit("{p}"), F.format_string("%.2f", "o_totalprice")), F.lit("{c}"), three), F.lit("{d}"), F.col("o_custkey").cast("string"))
+    return rows.select("o_orderkey", F.col("k").cast("long").alias("k"), text.plain_number(t).alias("plain"))
+
+
+def _numbers(t: str) -> str:
+    return f"list_distinct(list_transform(list_concat({_all(t, text._NUMBER, 0)}, {_all(t, text._CLOCK, 0)}), lambda x: {_plain_number('x')}))"
+
+
+def _colours(t: str) -> str:
+    return f"list_distinct(list_transform({_all(t, rf'(?i)\b({"|".join(text.COLOURS)})\b')}, lambda x: lower(x)))"
+
+
+@query(f"""
+WITH t AS (SELECT * FROM {_TEXTS}), p AS (SELECT a.item_id, a.k, {_entities('a.t')} AS ref, {_entities('b.t')} AS pred, {_numbers('a.t')} AS n, {_numbers('b.t')} AS m, {_colours('a.t')} AS c, {_colours('b.t')} AS d FROM t a JOIN t b ON b.item_id = a.item_id AND b.k = (a.k * 2 + a.item_id) % {len(_INSERTS)}),
+x AS (SELECT *, CASE WHEN len(n) > 0 THEN len(list_filter(n, lambda x: NOT list_contains(m, x))) = 0 END AS numbers, CASE WHEN len(c) > 0 THEN len(list_filter(c, lambda x: NOT list_contains(d, x))) = 0 END AS colours FROM p)
+SELECT item_id, k, round(len(list_filter(ref, lambda e: len(list_filter(pred, lambda q: q = e OR lower(q) = lower(e) OR {_plain_number('q')} = {_plain_number('e')})) > 0))::DOUBLE / nullif(len(ref), 0), 6) AS recall, CASE WHEN numbers IS NULL THEN colours WHEN colours IS NULL THEN numbers ELSE numbers AND colours END AS details FROM x
+""")
+def f20_f21_entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _inserted(spark, sf_dir)
+    a = rows.withColumn("j", (F.col("k") * 2 + F.col("item_id")) % len(_INSERTS))
+    b = rows.select("item_id", F.col("k").alias("j"), F.col("t").alias("u"))
+    t, u = F.col("t"), F.col("u")
+    return a.join(b, ["item_id", "j"]).select("item_id", "k", F.round(text.entity_recall(t, u), 6).alias("recall"), text.details_match(t, u).alias("details"))
+
+
+_TOLD = ["Red car, 3 kg at 12:30", "He saw Paris and 1,200 birds", "nothing"]
 
 
 @query()
@@ -133,13 +252,58 @@ def f22_exact_and_token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.avg((F.lower(F.trim(a)) == F.lower(F.trim(b))).cast("double")).alias("exact"), (F.sum(shared) / F.sum(size)).alias("token"))
 
 
-@query()
-def f23_bleu_and_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SCORED = (
+    r"""
+WITH t AS (SELECT b.item_id, b.text AS ref, coalesce(a.text, '') AS hyp FROM benchmark b LEFT JOIN benchmark a ON a.item_id + 1 = b.item_id),
+w AS (SELECT item_id, kind, list_filter(CASE WHEN kind = 'b' THEN string_split_regex(lower(ref), '\s+') ELSE list_transform(regexp_extract_all(ref, '[A-Za-z0-9]+'), lambda x: lower(x)) END, lambda x: x <> '') AS r,
+ list_filter(CASE WHEN kind = 'b' THEN string_split_regex(lower(hyp), '\s+') ELSE list_transform(regexp_extract_all(hyp, '[A-Za-z0-9]+'), lambda x: lower(x)) END, lambda x: x <> '') AS p FROM t, (SELECT unnest(['b', 'r']) AS kind)),
+k AS (SELECT *, unnest(range(1, 5)) AS n FROM w), g AS (SELECT item_id, kind, n, list_transform(range(1, greatest(len(r) - n + 2, 1)), lambda i: array_to_string(r[i : i + n - 1], ' ')) AS r, list_transform(range(1, greatest(len(p) - n + 2, 1)), lambda i: array_to_string(p[i : i + n - 1], ' ')) AS p, len(r) AS lr, len(p) AS lp FROM k),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))), 0) AS shared FROM g),
+s AS (SELECT item_id, kind, n, lr, lp, shared, ln((CASE WHEN shared = 0 THEN 0.1 ELSE shared END)::DOUBLE / greatest(1, len(p))) AS lg, coalesce(2.0::DOUBLE * shared / nullif(len(p) + len(r), 0), 0) AS f FROM c),
+b AS (SELECT item_id, kind, n, f, CASE WHEN lp = 0 OR first_value(shared) OVER w = 0 THEN 0 ELSE CASE WHEN lp < lr THEN exp(1 - lr::DOUBLE / greatest(lp, 1)) ELSE 1 END * exp(sum(lg) OVER w / n) END AS bleu FROM s WINDOW w AS (PARTITION BY item_id, kind ORDER BY n))
+SELECT item_id, """
+    + ", ".join(f"round(max(bleu) FILTER (kind = 'b' AND n = {n}), 6) AS bleu_{n}" for n in (1, 2, 3, 4))
+    + ", "
+    + ", ".join(f"round(max(f) FILTER (kind = 'r' AND n = {n}), 6) AS rouge_{n}" for n in (1, 2))
+    + " FROM b GROUP BY item_id"
+)
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """Benchmark items, each with the text of the item before it: rows, hypothesis, reference."""
     b = table(spark, sf_dir, "benchmark")
     other = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("other"))
     # an item without one before it is scored on an empty text
-    ref, hyp = F.col("text"), F.coalesce("other", F.lit(""))
-    return b.join(other, "item_id", "left").select("item_id", *(F.round(text.bleu(hyp, ref, n), 6).alias(f"bleu_{n}") for n in (1, 2, 3, 4)), *(F.round(text.rouge_n(hyp, ref, n), 6).alias(f"rouge_{n}") for n in (1, 2)))
+    return b.join(other, "item_id", "left"), F.coalesce("other", F.lit("")), F.col("text")
+
+
+@query(_SCORED)
+def f23_bleu_and_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, hyp, ref = _followed(spark, sf_dir)
+    return rows.select("item_id", *(F.round(text.bleu(hyp, ref, n), 6).alias(f"bleu_{n}") for n in (1, 2, 3, 4)), *(F.round(text.rouge_n(hyp, ref, n), 6).alias(f"rouge_{n}") for n in (1, 2)))
+
+
+@query()
+def f23_stemmed_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, hyp, ref = _followed(spark, sf_dir)
+    scores = [*(F.round(text.rouge_n(hyp, ref, n, stems=True), 6).alias(f"rouge_{n}") for n in (1, 2)), F.round(text.rouge_l(hyp, ref, stems=True, most=1 << 40), 6).alias("rouge_l")]
+    return rows.select("item_id", *scores)
+
+
+_CLOCK = "'00:' || lpad((turn % 60)::VARCHAR, 2, '0') || ':05 --> 00:' || lpad((turn % 60)::VARCHAR, 2, '0') || ':09'"
+_SPOKEN = rf"""(SELECT conv_id, string_agg('[' || {_CLOCK} || ']' || chr(10) || x, chr(10) || chr(10) ORDER BY turn) || chr(10) AS clocked, string_agg(x, chr(10) || chr(10) ORDER BY turn) || chr(10) AS plain
+ FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM conversations) WHERE x <> '' AND NOT regexp_matches(x, '^[0-9]+$') GROUP BY 1)"""
+
+
+@query(rf"SELECT conv_id, clocked, plain, CASE WHEN length(clocked) > 300 THEN regexp_replace(left(clocked, 236), '\s+$', '') || chr(10) || '[... transcript truncated ...]' || chr(10) ELSE clocked END AS short FROM {_SPOKEN}")
+def f31_prompt_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", x.alias("x")).where("x <> '' AND NOT x RLIKE '^[0-9]+$'")
+    minute = F.lpad((F.col("turn") % 60).cast("string"), 2, "0")
+    cue = F.concat(F.col("turn").cast("string"), F.lit("\n00:"), minute, F.lit(":05,250 --> 00:"), minute, F.lit(":09,750\n"), "x", F.lit("\n\n"))
+    srt = rows.select("conv_id", "turn", cue.alias("cue")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "cue"))), lambda c: c["cue"]), "").alias("srt"))
+    s = F.col("srt")
+    return srt.select("conv_id", text.prompt_transcript(s).alias("clocked"), text.prompt_transcript(s, timestamps=False).alias("plain"), text.prompt_transcript(s, most=300).alias("short"))
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS told FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations) WHERE text <> '' GROUP BY 1")
@@ -161,6 +325,16 @@ def f29_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("digest"))
 
 
+_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # fixed value: the namespace of addresses
+
+
+@query(f"""
+SELECT page_id, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', 1 + ('0x' || h[17])::INT % 4, 1) || h[18:20] || '-' || h[21:32] AS uid FROM (SELECT page_id, sha1(unhex('{_NAMESPACE.replace("-", "")}') || encode(url)) AS h FROM pages)
+""")
+def f29_named_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.uuid5(F.col("url"), _NAMESPACE).alias("uid"))
+
+
 @query("SELECT page_id, len(regexp_extract_all(url, '[a-z]+')) > 2 AS deep, CASE WHEN contains(url, 'http') AND contains(url, '1') THEN 'one' WHEN contains(url, 'http') THEN 'web' END AS kind FROM pages")
 def p18_name_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")

@@ -10,6 +10,26 @@ def json_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
 
+def json_arrays(rows: DataFrame, path: str, mode: str = "overwrite", most: int = 100_000) -> None:
+    """Files that each hold one JSON array of up to ``most`` rows, in no order; "append" adds further files."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    def wrap(parts):
+        import pyarrow as pa
+
+        held: list[str] = []
+        for batch in parts:
+            held += batch.column(0).to_pylist()
+            while len(held) >= most:
+                yield pa.RecordBatch.from_pydict({"value": [f"[{','.join(held[:most])}]"]})
+                held = held[most:]
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": [f"[{','.join(held)}]"]})
+
+    lines = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.mapInArrow(wrap, StructType([StructField("value", StringType())])).write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+
+
 def separated(rows: DataFrame, path: str, sep: str = ",") -> None:
     rows.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
@@ -30,11 +50,20 @@ def keyed_json(rows: DataFrame, key: str, order: list[str], values: list[str]) -
     return keyed(rows, key, order, values).select(key, F.to_json(F.map_from_arrays(F.array(F.col(key).cast("string")), F.array("items"))).alias("value"))
 
 
+def markdown_lines(rows: DataFrame, missing: str = "—") -> DataFrame:
+    """Each row as a line of a Markdown table, ``line``; written as text it has any size."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)) for c in rows.columns]
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
 def markdown(rows: DataFrame, headers: list[str] | None = None, missing: str = "—", most: int = 1000) -> str:
-    """A small table as Markdown; the first ``most`` rows come to the driver."""
+    """A table of up to ``most`` rows as Markdown, made on the driver; a larger one is an error (see :func:`markdown_lines`)."""
     headers = headers or rows.columns
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} rows: write markdown_lines instead")
     lines = ["| " + " | ".join(headers) + " |", "|" + "---|" * len(headers)]
-    lines += ["| " + " | ".join(missing if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()]
+    lines += ["| " + " | ".join(missing if v is None else str(v) for v in r) + " |" for r in found]
     return "\n".join(lines)
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evalweave.functions import arrays, semantics, stats, text, times, vectors
@@ -274,6 +275,92 @@ def test_numbered(spark):
     assert ranking.numbered(rows.limit(0), ["k"], "place").count() == 0
 
 
+@pytest.mark.parametrize("parts", [8, 64])
+def test_numbered_beyond_the_range_sample(spark, parts):
+    """Range bounds are drawn from a sample: on many rows each evaluation would draw others."""
+    n = 3_000_000 if parts == 64 else 300_000
+    rows = spark.range(0, n, 1, 16).select((F.col("id") * 7919 % n).alias("k"))
+    placed = ranking.numbered(rows, ["k"], "place", parts)
+    for _ in range(2):
+        assert placed.where("place <> k").count() == 0
+    assert placed.select("place").distinct().count() == n
+
+
+def test_numbered_by_group(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 7, None).otherwise((F.col("id") % 3).cast("string")).alias("g"), (F.col("id") * 7919 % 100_000).alias("k"))
+    placed = ranking.numbered(rows, ["k"], "place", 16, by=["g"])
+    want = F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1
+    assert placed.count() == 100_000
+    assert placed.withColumn("want", want).where("place <> want").count() == 0
+
+
+def test_folds_along_groups(spark):
+    """Gap merging and short clusters against the array functions, with one hot group."""
+    import random
+
+    rng = random.Random(5)
+    points = [("hot", rng.uniform(0, 5000)) for _ in range(3000)] + [(f"g{i % 7}", rng.uniform(0, 200)) for i in range(60)] + [("one", None)]
+    rows = spark.createDataFrame(points, "g string, p double")
+    got = sorted((r.g, r.kept) for r in ranking.gap_merged(rows, "g", "p", 2.5).collect())
+    want = []
+    for g in {g for g, _ in points}:
+        last = None
+        for p in sorted(x for k, x in points if k == g and x is not None):
+            if last is None or p - last >= 2.5:
+                want.append((g, p))
+                last = p
+    assert got == sorted(want)
+    segs = [("hot", float(i * 50), i * 50 + rng.choice([5.0, 10.0, 40.0])) for i in range(500)] + [("few", 0.0, 1.0)]
+    got = sorted((r.g, r.start, r.end) for r in ranking.short_merged(spark.createDataFrame(segs, "g string, s double, e double"), "g", "s", "e", 30.0).collect())
+    want = []
+    for g in ("hot", "few"):
+        held = None
+        for _, s, e in sorted(x for x in segs if x[0] == g):
+            if held is not None:
+                want.append((g, held[0], e))
+                held = None
+            elif e - s < 30:
+                held = (s, e)
+            else:
+                want.append((g, s, e))
+        if held:
+            want.append((g, *held))
+    assert got == sorted(want)
+
+
+def test_islands_and_their_iou(spark):
+    import random
+
+    rng = random.Random(9)
+    make = lambda n: [("u", s := rng.uniform(0, 300), s + rng.uniform(0, 20)) for _ in range(n)]
+    a, b = make(40), make(30)
+    frames = [spark.createDataFrame(x, "g string, start double, end double") for x in (a, b)]
+    merged = one(spark, times.merged(F.array(*(times.segment(F.lit(s), F.lit(e)) for _, s, e in a))))
+    assert sorted((r.start, r.end) for r in ranking.islands(frames[0], "g", "start", "end").collect()) == [(x.start, x.end) for x in merged]
+    want = one(spark, times.iou(*(F.array(*(times.segment(F.lit(s), F.lit(e)) for _, s, e in x)) for x in (a, b))))
+    assert ranking.set_iou(*frames, "g", 37.0).first().iou == pytest.approx(want)
+
+
+def test_failed_keys_are_written_once(spark, tmp_path):
+    spark.range(40).withColumn("v", F.col("id") * 2).repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = lambda: jobs.read_changes(spark, str(tmp_path / "in"), "id long, v long")
+    work = lambda rows: rows.select("id", "v", F.when(F.col("id") % 4 == 0, "bad").alias("error"))
+    for i in range(3):
+        jobs.resume(stream(), "id", str(tmp_path / "out"), str(tmp_path / f"mark{i}"), work, str(tmp_path / "failed"))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "failed")).collect()) == list(range(0, 40, 4))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [i for i in range(40) if i % 4]
+
+
+def test_large_tables_as_markdown(spark):
+    from evalweave.sources import writers
+
+    rows = spark.range(3).select("id", F.when(F.col("id") > 0, "x").alias("s"))
+    assert writers.markdown(rows.orderBy("id")).splitlines()[2:] == ["| 0 | — |", "| 1 | x |", "| 2 | x |"]
+    assert sorted(r.line for r in writers.markdown_lines(rows).collect()) == ["| 0 | — |", "| 1 | x |", "| 2 | x |"]
+    with pytest.raises(ValueError, match="over 2 rows"):
+        writers.markdown(rows, most=2)
+
+
 def test_chunks_match_a_loop(spark):
     rng = np.random.default_rng(2)
     made = [(g, float(i), float(i + 1), rng.normal(size=4).tolist()) for g in range(3) for i in range(40)] + [(0, 99.0, 100.0, None)]
@@ -363,3 +450,37 @@ def test_hybrid_modes(spark):
     assert order(words="car", query=[0.0, 1.0], mode="semantic")[0] == 2
     with pytest.raises(ValueError, match="unknown mode"):
         retrieval.hybrid(docs, mode="other")
+
+
+def test_cell_index_recall(spark):
+    """Every row is indexed; recall against brute force is over 0.9, and 1 if all cells are looked into."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = e.where("vec_id % 50 = 0")
+    want = {(r.query, r.vec_id) for r in retrieval.nearest(e, asked, 5).collect()}
+    index = retrieval.CellIndex(e, 16)
+    assert index.rows.count() == e.count()
+    got = {(r.query, r.vec_id) for r in index.nearest(asked, 5, probes=12).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert {(r.query, r.vec_id) for r in index.nearest(asked, 5, probes=16).collect()} == want
+
+
+def test_nearest_in_lots(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = e.where("vec_id % 50 = 0")
+    rows = lambda most: sorted((r.query, r.vec_id, r.place) for r in retrieval.nearest(e, asked, 3, most=most).collect())
+    assert rows(3) == rows(4096)
+
+
+def test_unknown_selection_mode(spark):
+    from evalweave.operators import selection
+
+    with pytest.raises(ValueError, match="unknown selection mode"):
+        selection.select("other", selection.Frames(spark.range(1), "id", "id", "id"), 1)
+
+
+def test_stems():
+    """Porter's own examples, step by step, and the exceptions."""
+    from evalweave.functions.stemming import stem
+
+    pairs = "caresses caress ponies poni ties tie cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensitiviti sensit triplicate triplic formative form formalize formal electriciti electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adoption adopt communism commun activate activ effective effect probate probat rate rate cease ceas controll control roll roll dying die news news skies sky is is".split()
+    assert {a: stem(a) for a in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2], strict=True))

@@ -124,3 +124,22 @@ def test_pairs_are_screened_on_whole_texts(spark, benchmark):
     got = {r.drop_reason: r.n for r in registry.queries()["p12_screened_pairs"](spark, benchmark).collect()}
     assert got == Counter(_reason(i) for i in range(1, len(TEXTS)))
     assert got[None] == 2  # items 3 and 7: item 7's first 200 characters are those of item 6
+
+
+def test_stemmed_rouge_of_whole_texts(spark, tmp_path):
+    from evalweave.functions.stemming import stem
+
+    texts = ["The cats were running quickly through relational gardens " + HEAD, "A cat runs through the relation of a garden " + HEAD + " and hopes", "hopeful cats ran", ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r for r in registry.queries()["f23_stemmed_rouge"](spark, str(tmp_path)).collect()}
+
+    def tokens(t):
+        return [stem(w) if len(w) > 3 else w for w in _tokens(t)]
+
+    for i, ref in enumerate(texts):
+        hyp, want = tokens(texts[i - 1] if i else ""), tokens(ref)
+        for n in (1, 2):
+            s, p, r = _shared(hyp, want, n)
+            assert got[i][f"rouge_{n}"] == pytest.approx(2 * s / (p + r) if p + r else 0, abs=1e-6)
+        common = _rouge_l(" ".join(hyp), " ".join(want)) if hyp or want else 0
+        assert got[i].rouge_l == pytest.approx(common, abs=1e-6)
