@@ -25,11 +25,17 @@ import regex
 
 # Encoders of a worker, by file.
 _encoders: dict[str, UnitEncoder] = {}
-_PLAIN = re.compile(r" ?[\n!-~¡-ɏ]+").fullmatch
+_PLAIN = re.compile(r" ?[\n!-~¡-įı-ɏ]+").fullmatch  # without U+0130, whose lower case is two characters
 _SIGNS = b'.,;:!?|*$%&#)"'
 # Bytes that begin no white space in UTF-8, nor what Python or a pattern may take for it.
 _SOLID = np.ones(256, bool)
 _SOLID[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_LETTER, _SIGN, _OTHER = 2, 3, 5
+# Letters, signs but the apostrophe, and what else is visible in ASCII; 0 for all other bytes.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[0x27, *range(0x30, 0x3A)]] = _OTHER
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
 # Fixed value: the pattern that ByteLevel pre-tokenisation uses.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -198,7 +204,21 @@ class UnitEncoder:
 
 
 def _before_words(buf: np.ndarray) -> np.ndarray:
-    return (buf[:-1] == 0x20) & _SOLID[buf[1:]]
+    """Where both kinds of pre-tokenisers always part tokens, of all bytes but the last.
+
+    Before a space that a word follows; between an ASCII letter and an ASCII sign other
+    than the apostrophe, either way; before a newline that follows a letter, digit or sign;
+    and, if that newline is alone, before an ASCII letter that follows it.
+    """
+    cut = np.zeros(len(buf) - 1, bool)
+    np.logical_and(buf[:-1] == 0x20, _SOLID[buf[1:]], out=cut)
+    kind = _KIND[buf]
+    change = kind[:-1] * kind[1:]  # of neighbours
+    line = buf == 0x0A
+    new = line[1:] & (kind[:-1] > 0)  # a newline after something
+    cut[1:] |= ((change == _LETTER * _SIGN) | new)[:-1]
+    cut[2:] |= new[:-2] & (kind[2:-1] == _LETTER)
+    return cut
 
 
 def by_units(raw: list[bytes], cuts: Callable[[np.ndarray], np.ndarray], look: Callable[[list[bytes]], list[bytes]]) -> list[np.ndarray]:
