@@ -17,8 +17,8 @@ holds does not move:
   128-bit hashes of its windows are compared: this verifies every partial overlap. Only
   those rows of the log leave their buckets.
 
-Then the batch becomes a run; more than ``fanout`` runs are compacted into one. Copies
-and shared passages meet as one entry each, so hot passages are aggregated before any
+Then the batch becomes a run. While there are more than ``fanout`` runs, the two smallest
+are merged into one, bucket by bucket, again without a shuffle. Copies and shared passages meet as one entry each, so hot passages are aggregated before any
 shuffle, and joins on hot keys have plain exchanges that adaptive execution splits.
 
 Edge cases: null, empty and short texts have no window and lose nothing; rows without
@@ -37,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import discard, near_slots, only, packed, scratch_path, spans_hash, stage, texts_of, windows_hash, without, word_batches
@@ -103,25 +103,35 @@ def fingerprints(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id long, n_words long, sha string, entries {_ENTRY}")
 
 
+def _spans(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """at and n of each row's list of structs, as arrays."""
+    cuts = column.offsets.to_numpy()
+    at, n = (column.values.field(i).to_numpy() for i in (0, 1))
+    return [(at[x:y], n[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _covered(spans: tuple[np.ndarray, np.ndarray], size: int, more: int = 0) -> np.ndarray:
+    """Which of ``size`` places lie in a span, each ``more`` longer; a shorter text of the same doc_id may end before one."""
+    edge = np.zeros(size + 1, np.int32)
+    np.add.at(edge, np.minimum(spans[0], size), 1)
+    np.add.at(edge, np.minimum(spans[0] + spans[1] + more, size), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _windows(texts: DataFrame, window: int) -> DataFrame:
     """doc_id, at, w1, w2 of every window that lies in a listed stretch, or has the same words as one that does."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in parts:
-            spans, done = batch.column(2).to_pylist(), 0
+            spans, done = _spans(batch.column(2)), 0
             ids = batch.column(0).to_pylist()
             for words, cuts in word_batches(batch.column(1).to_pylist()):
                 w1, w2 = windows_hash(words[0], window), windows_hash(words[1], window)
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    mine, most = spans[done], max(b - a - window + 1, 0)
-                    listed = np.zeros(most + 1, np.int32)
-                    for s in mine:
-                        # a shorter text of the same doc_id may end before the stretch
-                        listed[min(s["at"], most)] += 1
-                        listed[min(s["at"] + s["n"], most)] -= 1
+                    most = max(b - a - window + 1, 0)
                     h = w1[a : a + most]
-                    at = np.flatnonzero(np.isin(h, h[np.cumsum(listed[:-1]) > 0]))
+                    at = np.flatnonzero(np.isin(h, h[_covered(spans[done], most)]))
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[done], np.int64)), pa.array(at.astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array(w2[a + at].view(np.int64))], ["doc_id", "at", "w1", "w2"])
                     done += 1
@@ -140,6 +150,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str, window: int = 50, fanout: int = 4):
         self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
         self.scratch: list[str] = []
+        self.marks: list[str] = []
         self.tables: dict[str, str] = {}
         old = self._manifests()
         if old:
@@ -148,7 +159,7 @@ class FingerprintIndex:
                 raise ValueError(f"this log is of windows of {with_['window']} words")
             self.state = with_
         else:
-            self.state = {"number": 0, "window": window, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "last": None, "runs": []}
+            self.state = {"number": 0, "window": window, "buckets": int(spark.conf.get("spark.sql.shuffle.partitions")), "last": None, "runs": {}}
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -165,7 +176,7 @@ class FingerprintIndex:
     def _read(self, name: str) -> str:
         return self.spark.read.text(f"{self.path}/{name}", wholetext=True).first()[0]
 
-    def _commit(self, runs: list[str], last: int | None) -> None:
+    def _commit(self, runs: dict[str, int], last: int | None) -> None:
         old = self._manifests()
         self.state = {**self.state, "number": self.state["number"] + 1, "last": last, "runs": runs}
         name, fs = f"manifest-{self.state['number']:08d}.json", self._fs()
@@ -188,10 +199,10 @@ class FingerprintIndex:
     def runs(self, kind: str) -> list[DataFrame]:
         return [self.table(r, kind) for r in self.state["runs"]]
 
-    def _write(self, run: str, kind: str, rows: DataFrame) -> DataFrame:
-        """Rows grouped by the table's key, into its buckets."""
+    def _write(self, run: str, kind: str, rows: DataFrame, placed: bool = False) -> DataFrame:
+        """Rows grouped by the table's key, into its buckets; ``placed``: they come from buckets."""
         key, buckets, name = _TABLES[kind][1], self.state["buckets"], f"{run}_{kind}"
-        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != buckets:
+        if not placed and int(self.spark.conf.get("spark.sql.shuffle.partitions")) != buckets:
             rows = rows.repartition(buckets, *key)  # else the grouping has dealt them just so
         self.tables[name] = f"{name}_{uuid.uuid4().hex}"
         rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{run}/{kind}").bucketBy(buckets, *key).sortBy(*key).saveAsTable(self.tables[name])
@@ -206,8 +217,8 @@ class FingerprintIndex:
         """Delete scratch tables, and the log too if asked; names of tables leave the session, their files stay."""
         for name in self.tables.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        discard(self.spark, *self.scratch, *([self.path] if log else []))
-        self.scratch, self.tables = [], {}
+        discard(self.spark, *self.scratch, *self.marks, *([self.path] if log else []))
+        self.scratch, self.marks, self.tables = [], [], {}
 
     def _forget(self, run: str) -> None:
         for kind in _TABLES:
@@ -215,14 +226,26 @@ class FingerprintIndex:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard(self.spark, f"{self.path}/{run}")
 
+    def merged(self, one: str, two: str, kind: str) -> DataFrame:
+        """Two runs' rows by key: a merge join in place. (Spark 4.1 groups a union of bucketed tables wrongly, so none is made.)"""
+        columns, key = [c.split()[0] for c in _TABLES[kind][0].split(", ")], _TABLES[kind][1]
+        values = [c for c in columns if c not in key]
+        a, b = (self.table(run, kind).select(*key, *(F.col(c).alias(f"{side}{c}") for c in values)) for side, run in (("a_", one), ("b_", two)))
+        low = {"a1", "a2", "lo", "doc_id"}
+        out = {c: (F.least if c in low else F.greatest)(f"a_{c}", f"b_{c}") for c in values}
+        if "at" in out:
+            out["at"] = F.when(F.col("b_doc_id").isNull() | (F.col("a_doc_id") <= F.col("b_doc_id")), F.col("a_at")).otherwise(F.col("b_at"))
+        return a.join(b.hint("merge"), key, "full").select(*key, *(c.alias(n) for n, c in out.items())).select(*columns)
+
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go once the new one is written and the manifest names it."""
-        old, run = self.state["runs"], f"run_{uuid.uuid4().hex}"
-        for kind, (_, key) in _TABLES.items():
-            least = {"contexts": [F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("last").alias("last")], "prints": _bounds()}[kind]
-            self._write(run, kind, reduce(DataFrame.unionByName, self.runs(kind)).groupBy(*key).agg(*least))
-        self._commit([run], self.state["last"])
-        for r in old:
+        """Merge the two smallest runs; they go once the new one is written and the manifest names it."""
+        one, two = sorted(self.state["runs"], key=self.state["runs"].get)[:2]
+        run = f"run_{uuid.uuid4().hex}"
+        for kind in _TABLES:
+            self._write(run, kind, self.merged(one, two, kind), placed=True)
+        left = {r: n for r, n in self.state["runs"].items() if r not in (one, two)}
+        self._commit(left | {run: self.table(run, "contexts").count()}, self.state["last"])
+        for r in (one, two):
             self._forget(r)
 
     def add_batch(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
@@ -234,7 +257,7 @@ class FingerprintIndex:
         window, run = self.state["window"], f"run_{uuid.uuid4().hex}"
         own = batch.groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
         own = self._write(run, "contexts", own)
-        lowest, highest = own.agg(F.min("doc_id"), F.max("last")).first()
+        lowest, highest, size = own.agg(F.min("doc_id"), F.max("last"), F.count("*")).first()
         if lowest is None:
             self._forget(run)
             return self.spark.createDataFrame([], "doc_id long, at int, n int")
@@ -258,7 +281,7 @@ class FingerprintIndex:
             both = both.join(other.hint("merge"), "fp", "left").select("fp", *(F.least(c, f"_{c}").alias(c) if c in ("a1", "a2", "lo") else F.greatest(c, f"_{c}").alias(c) for c in ("a1", "z1", "a2", "z2", "lo", "hi")))
         several = self._stage(both.where("(a1 < z1 OR a2 < z2) AND lo < hi").select("fp"), "fp-several")
         # a context that the log has too is read where the log has it
-        sources = [known.where("first = doc_id"), *self.runs("contexts")]
+        sources = [known.where("first = doc_id"), *(self.spark.read.schema(_TABLES["contexts"][0]).parquet(f"{self.path}/{r}/contexts") for r in self.state["runs"])]
         open_ = reduce(DataFrame.unionByName, [near_slots(s.select(*_KEY, "doc_id", "at"), several, ["fp"])[0] for s in sources])
         open_ = open_.join(several.hint("merge"), "fp").groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))
         open_ = open_.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
@@ -268,9 +291,12 @@ class FingerprintIndex:
         first = self._stage(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows-first")
         part = windows.join(first.hint("merge"), ["w1", "w2"]).where("doc_id > first").select("doc_id", "at", F.lit(1).alias("n"))
         # marks of documents already in the log were given with their own batch
-        marks = self._stage(whole.unionByName(part.where(F.col("doc_id") >= F.lit(lowest))), "marks")
-        self._commit([*self.state["runs"], run], highest)
-        if len(self.state["runs"]) > self.fanout:
+        marks, path = stage(whole.unionByName(part.where(F.col("doc_id") >= F.lit(lowest))), "marks")
+        discard(self.spark, *self.scratch)
+        self.scratch = []
+        self.marks.append(path)
+        self._commit(self.state["runs"] | {run: size}, highest)
+        while len(self.state["runs"]) > self.fanout:
             self.compact()
         return marks
 
@@ -279,14 +305,10 @@ def _bounds() -> list[Column]:
     return [*(F.min(c).alias(c) for c in ("a1", "a2", "lo")), *(F.max(c).alias(c) for c in ("z1", "z2", "hi"))]
 
 
-def _kept(text: str | None, marks: list[dict], window: int) -> tuple[list[bytes], int]:
+def _kept(text: str | None, marks: tuple[np.ndarray, np.ndarray], window: int) -> tuple[list[bytes], int]:
     """The words outside of marked windows, and the number of all words."""
     words = words_of(text)
-    edge = np.zeros(len(words) + 1, np.int32)
-    for m in marks:
-        edge[min(m["at"], len(words))] += 1
-        edge[min(m["at"] + m["n"] + window - 1, len(words))] -= 1
-    return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)], len(words)
+    return [words[i] for i in np.flatnonzero(~_covered(marks, len(words), window - 1)).tolist()], len(words)
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -296,7 +318,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
         forget()
         for batch in parts:
             out: dict[str, list] = {"doc_id": batch.column(0).to_pylist(), "n_words": [], "n_removed": [], "kept": []}
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, marks in zip(batch.column(1).to_pylist(), _spans(batch.column(2)), strict=True):
                 keep, n = _kept(text, marks, window)
                 out["n_words"].append(n)
                 out["n_removed"].append(n - len(keep))
@@ -306,6 +328,16 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def _joined_marks(marks: DataFrame) -> DataFrame:
+    """(doc_id, marks): each document's stretches, those that touch joined, so that a repeated passage is one; one shuffle, by doc_id."""
+    w = Window.partitionBy("doc_id").orderBy("at", "n")
+    before = F.max(F.col("at") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = marks.withColumn("new", F.coalesce(F.col("at") > before, F.lit(True)).cast("int"))
+    numbered = fresh.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = numbered.groupBy("doc_id", "part").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"))
+    return parts.groupBy("doc_id").agg(F.collect_list(F.struct("at", (F.col("end") - F.col("at")).alias("n"))).alias("marks"))
+
+
 def _marked(docs: DataFrame, window: int, batches: int, fanout: int, log: str | None, history: DataFrame | None) -> tuple[DataFrame, DataFrame, str]:
     """(doc_id, marks) of documents with a marked window; the facts of every row, and where these are staged."""
     spark = docs.sparkSession
@@ -323,7 +355,7 @@ def _marked(docs: DataFrame, window: int, batches: int, fanout: int, log: str |
         upto = F.lit(True) if i == len(cuts) else F.col("doc_id") <= cuts[i]
         found = index.add_batch(facts.where(F.col("batch") == i).select("doc_id", F.inline("entries")), known.where(upto))
         marks = found if marks is None else marks.unionByName(found)
-    spans, _ = stage(marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marked")
+    spans, _ = stage(_joined_marks(marks), "marked")
     index.close(log=log is None)
     return spans, facts, facts_path
 
@@ -363,7 +395,7 @@ def drop_passages(docs: DataFrame, window: int = 50, batches: int = 4, fanout: i
     @F.arrow_udf("string")
     def cut(texts: pa.Array, marks: pa.Array) -> pa.Array:
         out = []
-        for text, some in zip(texts.to_pylist(), marks.to_pylist(), strict=True):
+        for text, some in zip(texts.to_pylist(), _spans(marks), strict=True):
             keep, n = _kept(text, some, window)
             out.append(text if len(keep) == n else b" ".join(keep).decode("utf-8", "surrogatepass"))
         return pa.array(out, pa.string())
