@@ -1,5 +1,6 @@
 """Words that a polynomial modulo 2^64 can't part, special tokens' literals, and the space marker as text."""
 
+import random
 import zlib
 
 import numpy as np
@@ -95,4 +96,26 @@ def test_marker_in_a_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), LATIN)
     rows = {r.doc_id: r for r in pieces.digests(docs, path).collect()}
     assert all(r.parity for r in rows.values())
-    assert [rows[i].round_trip for i in range(len(texts))] == ["▁" not in t for t in texts]
+    assert [rows[i].units_round_trip for i in range(len(texts))] == ["▁" not in t for t in texts]
+
+
+def test_finer_units_change_no_ids():
+    """Letters, signs, contractions and white space in any order, against the plain library."""
+    rng = random.Random(3)
+    alphabet = [*"ab Z'.,-\n\n\t  59(\"é日'sSt", "\r\n", "\n\n", "'s ", "'LL", " \n", "\u00a0", "\u0301", "İ", "ß", "ﬁ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder(path).encode(texts)] == want
+
+
+def test_pieces_of_odd_texts_match():
+    rng = random.Random(4)
+    alphabet = [*"ab Z'.,\n\t  59é日▁▁ s", "  ", "   "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    code = pieces.coder(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = code.encode(texts)
+    assert ids == code.batch(texts)
+    assert all(code.check(texts, ids))
+    assert code.kept(texts, ids) == [a == b for a, b in zip(code.decode(ids), texts, strict=True)]

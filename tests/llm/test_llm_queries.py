@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_language": {"doc_id", "held_out", "lang_pred", "score"},
     "op2_near_duplicates": {"doc_id", "n_shingles", "component_id", "kept"},
-    "op3_sentencepiece": {"doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"},
+    "op3_sentencepiece": {"doc_id", "n_tokens", "ids_crc32", "parity", "units_round_trip"},
     "op4_simple8b": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op5_substring": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op6_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},

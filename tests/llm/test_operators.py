@@ -191,6 +191,33 @@ def test_log_is_reopened_and_compacted(spark, docs, tmp_path):
         substring.substring_digests(docs, log=log)
 
 
+def test_runs_are_merged_where_they_lie(spark, docs, tmp_path):
+    log = str(tmp_path / "log")
+    for low, high in ((0, 15), (15, 1000)):
+        substring.substring_digests(docs.where((F.col("doc_id") > low) & (F.col("doc_id") <= high)), 50, 1, 4, log=log, history=docs.where(F.col("doc_id") <= low)).count()
+    index = substring.FingerprintIndex(spark, log)
+    one, two = index.state["runs"]
+    for kind, (_, key) in substring._TABLES.items():
+        got = index.merged(one, two, kind)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        both = [r for run in (one, two) for r in spark.read.parquet(f"{log}/{run}/{kind}").collect()]
+        want = {}
+        for r in both:
+            want.setdefault(tuple(r[k] for k in key), []).append(r)
+        rows = got.collect()
+        assert len(rows) == len(want) < len(both)
+        for r in rows:
+            of = want[tuple(r[k] for k in key)]
+            if kind == "contexts":
+                assert (r.doc_id, r.last) == (min(x.doc_id for x in of), max(x["last"] for x in of))
+                assert r["at"] == min(of, key=lambda x: x.doc_id)["at"]
+            else:
+                assert tuple(r)[1:] == tuple((min if c in ("a1", "a2", "lo") else max)(x[c] for x in of) for c in ("a1", "z1", "a2", "z2", "lo", "hi"))
+    index.compact()
+    assert len(index.state["runs"]) == 1
+    index.close()
+
+
 def test_substring_edges(docs, nothing):
     assert substring.substring_digests(nothing).count() == 0
     loose = docs.where("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long"))
@@ -292,7 +319,7 @@ def test_pieces(docs, nothing):
     rows = by_id(pieces.digests(docs, path))
     for i, t in ROWS:
         ids = np.array(reference.encode(t or ""), "<u4")
-        assert (rows[i].n_tokens, rows[i].ids_crc32, rows[i].parity, rows[i].round_trip) == (len(ids), zlib.crc32(ids.tobytes()), True, True)
+        assert (rows[i].n_tokens, rows[i].ids_crc32, rows[i].parity, rows[i].units_round_trip) == (len(ids), zlib.crc32(ids.tobytes()), True, True)
     encoded = pieces.encode(docs, path)
     back = by_id(pieces.decode(encoded, path))
     assert all(back[i].text == (t or "") for i, t in ROWS)
