@@ -2,8 +2,15 @@
 
 The model file is a protobuf message; the few fields needed are read here. From them
 the library's normaliser, space marker, merges or unigram scores, byte fallback and
-decoder are rebuilt. Texts are encoded in batches on several threads, and the ids of
-every whole text are compared with those of a SentencePiece processor.
+decoder are rebuilt. Texts are encoded in batches on several threads, decoded by the
+library, and the ids of every whole text are compared with those that a SentencePiece
+processor gives for it.
+
+Where no piece has a space marker after another character, tokens never reach over the
+gap before a marker, so a text's ids are those of its units in a row, each a marker and
+a word. Units are told apart by their bytes and remembered; the new ones of many texts
+go through the rebuilt tokenizer as one text a thread, and the library's decoder has to
+give that text back.
 
 Edge cases: null and empty texts have no ids; characters without a piece become bytes,
 or the unknown id; a marker that stands in a text itself decodes to a space, so its
@@ -19,10 +26,12 @@ from array import array
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evalweave.llm.common import batches, texts_of
+from evalweave.llm.units import Memo, by_units
 
 MARK = "▁"
 # Piece types and model types of the format.
@@ -127,10 +136,16 @@ def build(model: PieceModel):
     return out
 
 
+def splits(model: PieceModel) -> bool:
+    """Has no piece a marker after another character, and does normalisation change nothing but spaces?"""
+    plain = model.escape and model.dummy_prefix and not model.charsmap and not model.squeeze
+    return plain and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
+
+
 class PieceCoder:
     """Ids of texts by the rebuilt tokenizer, and back, on several threads."""
 
-    def __init__(self, path: str, threads: int = 2):
+    def __init__(self, path: str, threads: int = 2, half: int = 400_000):
         # the library reads the first at each batch, the other once
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -140,10 +155,74 @@ class PieceCoder:
             self.model = parse(f.read())
         self.tokenizer, self.threads = build(self.model), threads
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.parted, self.memo = splits(self.model), Memo(half)
+        self.lost: set[bytes] = set()  # units that decode to something else
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts."""
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units of one space and a word: in a row of such units every piece with a marker begins one."""
+        size = -(-len(units) // self.threads) or 1
+        rows = [units[at : at + size] for at in range(0, len(units), size)]
+        # the normaliser puts back the first space
+        texts = [b"".join(r)[1:].decode("utf-8", "surrogatepass") for r in rows]
+        coded, out = self.batch(texts), []
+        for row, text, ids, back in zip(rows, texts, coded, self.decode(coded), strict=True):
+            found = np.array(ids, "<u4")
+            cuts = np.append(np.flatnonzero(self.begins[found]), len(found)).tolist()
+            if len(cuts) != len(row) + 1:
+                raise RuntimeError("units and markers differ")
+            data = found.tobytes()
+            parts = [data[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            out += parts
+            if back != text:
+                self.lost |= {u for u, ids_ in zip(row, parts, strict=True) if not self._kept(u, ids_)}
+        return out
+
+    def _kept(self, unit: bytes, ids: bytes) -> bool:
+        """Does the library's decoder give the unit back? Its first space is the normaliser's."""
+        return self.decode([array("I", ids).tolist()])[0].encode("utf-8", "surrogatepass") == unit[1:]
+
+    def _look(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units, each spaces and a word."""
+        self.memo.turn()
+        known, old = self.memo.new, self.memo.old.get
+        out = list(map(known.get, units))
+        new = []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = old(units[i])
+            if ids is None:
+                new.append(i)
+            else:
+                known[units[i]] = out[i] = ids
+        words = [i for i in new if len(units[i]) > 1 and units[i].rfind(b" ") == 0]
+        for i, ids in zip(words, self._words([units[i] for i in words]), strict=True):
+            out[i] = ids
+            if len(units[i]) <= 64:
+                known[units[i]] = ids
+        for i in new:
+            if out[i] is None:  # several spaces, or the last ones of a text: seen after a word
+                one, more = self.batch(["a", "a" + units[i].decode("utf-8", "surrogatepass")])
+                known[units[i]] = out[i] = array("I", more[len(one) :]).tobytes()
+                if self.decode([more])[0].encode("utf-8", "surrogatepass") != b"a" + units[i]:
+                    self.lost.add(units[i])
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        if not self.parted:
+            return self.batch(texts)
+        raw = [(" " + t.replace(MARK, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        return [ids.tolist() for ids in by_units(raw, _before_spaces, self._look)]
+
+    def kept(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Does each text come back? By its units, which were decoded when first seen; whole texts where there are no units, or one was lost."""
+        if not self.parted or self.lost:
+            return [a == b for a, b in zip(self.decode(ids), texts, strict=True)]
+        return [MARK not in t for t in texts]  # a marker in a text becomes a space
+
     def check(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
         """Are these the ids that SentencePiece gives for each whole text?"""
         return [a == b for a, b in zip(self.reference.encode(texts, num_threads=self.threads), ids, strict=True)]
@@ -153,6 +232,12 @@ class PieceCoder:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+def _before_spaces(buf: np.ndarray) -> np.ndarray:
+    """A space that follows something else; the first unit of a text begins anyway."""
+    space = buf == 0x20
+    return space[:-1] & ~np.concatenate([[False], space[:-2]])
+
+
 def coder(path: str, threads: int = 2) -> PieceCoder:
     if (path, threads) not in _coders:
         _coders[path, threads] = PieceCoder(path, threads)
@@ -165,7 +250,7 @@ def encode(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(model, threads)
         for batch in parts:
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 21):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
                 ids = code.encode(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(code.check(texts, ids))], ["doc_id", "ids", "parity"])
 
@@ -184,14 +269,18 @@ def decode(encoded: DataFrame, model: str, threads: int = 2) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str, threads: int = 2) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), parity with SentencePiece, and whether decoding gives the text back."""
+    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), parity and units_round_trip of every text.
+
+    ``parity``: SentencePiece gives the same ids for the whole text. ``units_round_trip``:
+    the library's decoder gives back every unit of the text, as seen when the unit was new
+    to its worker; whole texts are decoded once a unit was lost, and by :func:`decode`.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(model, threads)
         for batch in parts:
-            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 21):
+            for some, texts in batches(batch.column(0).to_pylist(), batch.column(1).to_pylist(), 1 << 22):
                 ids = code.encode(texts)
-                back = [a == b for a, b in zip(code.decode(ids), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(array("I", x).tobytes()) for x in ids], pa.int64()), pa.array(code.check(texts, ids)), pa.array(back)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(array("I", x).tobytes()) for x in ids], pa.int64()), pa.array(code.check(texts, ids)), pa.array(code.kept(texts, ids))], ["doc_id", "n_tokens", "ids_crc32", "parity", "units_round_trip"])
 
-    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, units_round_trip boolean")
