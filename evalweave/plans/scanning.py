@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalweave.plans.registry import query, table
-from evalweave.sources import readers, writers
+from evalweave.sources import readers, sheets, writers
 from evalweave.sources.scratch import folder as _folder
 from evalweave.streaming import jobs
 
@@ -67,6 +67,13 @@ def s08_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.separated(spark, path, "\t")
 
 
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey FROM customer")
+def s08_k05_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "sheet") + "/report.xlsx"
+    sheets.write_sheet(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), path, "Customers", most=1_000_000)
+    return sheets.read_sheets(spark, path)
+
+
 @query("SELECT item_id::VARCHAR AS uid, trim(left(text, 8)) AS question, ['x', 'y', '', ''] AS answer_choices, 'A' AS ground_truth FROM benchmark")
 def s11_eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.substring("text", 1, 8), F.lit("(A) x (B) y")).alias("question"), F.lit("A").alias("answer"))

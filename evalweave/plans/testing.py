@@ -79,6 +79,13 @@ def m11_change_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(vectors.mean_abs_difference(F.col("embedding"), F.col("b")), 6).alias("mad"), vectors.hamming(F.col("embedding"), F.col("b")).alias("dhash"))
 
 
+@query()
+def m11_flow_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = e.join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    return rows.select("vec_id", F.round(vectors.flow(F.col("embedding"), F.col("b")), 6).alias("flow"))
+
+
 @query(f"SELECT lang, count(*) FILTER (verdict) AS correct, count(verdict) AS judged, count(*) - count(verdict) AS pending, count(*) FILTER (verdict) * 100.0::DOUBLE / nullif(count(verdict), 0) AS acc FROM {JUDGED} WHERE lang IS NOT NULL GROUP BY lang")
 def a01_a03_judged_without_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.judged_accuracy(judged(spark, sf_dir).where("lang IS NOT NULL"), ["lang"])

@@ -1,5 +1,6 @@
 """Hand-made cases and properties of the functions."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -484,3 +485,42 @@ def test_stems():
 
     pairs = "caresses caress ponies poni ties tie cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensitiviti sensit triplicate triplic formative form formalize formal electriciti electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin adjustable adjust defensible defens irritant irrit replacement replac adoption adopt communism commun activate activ effective effect probate probat rate rate cease ceas controll control roll roll dying die news news skies sky is is".split()
     assert {a: stem(a) for a in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def test_flow_of_a_shifted_image(spark):
+    from evalweave.functions.vectors import flow_magnitude
+
+    y, x = np.mgrid[0:48, 0:48]
+    wave = lambda dx, dy: 100 + 50 * np.sin((x - dx) / 4) * np.cos((y - dy) / 5)
+    assert flow_magnitude(wave(0, 0), wave(0, 0)) == 0
+    for dx, dy in ((0.5, 0), (0, 0.4), (0.3, -0.4)):
+        assert flow_magnitude(wave(0, 0), wave(dx, dy)) == pytest.approx(math.hypot(dx, dy), rel=0.15)
+    flat = [float(v) for v in wave(0, 0).ravel()]
+    near = [float(v) for v in wave(0.5, 0).ravel()]
+    row = spark.createDataFrame([(flat, near, flat[:5])], "a array<double>, b array<double>, c array<double>").select(vectors.flow("a", "b"), vectors.flow("a", "c")).first()
+    assert row[0] == pytest.approx(flow_magnitude(wave(0, 0), wave(0.5, 0)))
+    assert row[1] is None
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from evalweave.sources import sheets
+
+    rows = spark.createDataFrame([(1, "a<b & c", 1.5, None), (2, "  two\nlines", -0.25, True), (3, "日本", None, False)], "n int, `odd name` string, x double, ok boolean")
+    path = str(tmp_path / "r.xlsx")
+    sheets.write_sheet(rows, path, "Näme & co")
+    got = sorted(sheets.read_sheets(spark, path).collect())
+    assert [tuple(r) for r in got] == [("1", "a<b & c", "1.5", None), ("2", "  two\nlines", "-0.25", "True"), ("3", "日本", None, "False")]
+    with zipfile.ZipFile(path) as z:
+        assert "<b/>" in z.read("xl/styles.xml").decode()
+        assert 'state="frozen"' in z.read("xl/worksheets/sheet1.xml").decode()
+    with pytest.raises(ValueError, match="for reports"):
+        sheets.write_sheet(rows, path, most=2)
+    assert [sheets.column_number(f"{sheets.column_name(i)}7") for i in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702]
+    # texts that another program keeps apart from the sheet
+    main = sheets._MAIN
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>k</t></si><si><r><t>o</t></r><r><t>ne</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="C2"><v>7</v></c></row></sheetData></worksheet>')
+    assert sheets.cells((tmp_path / "s.xlsx").read_bytes()) == [["k", None, "one"], [None, None, "7"]]
