@@ -38,3 +38,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> tuple[Data
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")), path
         mark = new_mark
     raise RuntimeError("components did not settle")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+    """The labels of :func:`connected_components` after further links (a, b), and where they lie.
+
+    Components are contracted to their labels first, so the cost follows the new links.
+    """
+    names = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
+    between = links.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    found, path = connected_components(between)
+    over = found.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    # a label that gets another one becomes a node like those that it named
+    out, out_path = stage(labels.join(over, "label", "left").select("node", F.coalesce("new", "label").alias("label")).unionByName(found), "cc-labels")
+    discard(labels.sparkSession, path)
+    return out, out_path

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalweave.llm.common import discard, mix, only, stage, texts_of, windows_hash, without, word_batches
-from evalweave.llm.components import connected_components
+from evalweave.llm.components import connected_components, joined
 from evalweave.llm.units import forget
 
 BINS = 4096  # samples of a sketch
@@ -245,8 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         else:
             pairs = sketched(buckets.where("label <> hub_label").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
         found, path = stage(confirmed(pairs), "links")
-        links = links.union(found)
-        labels, label_path = connected_components(links)
+        labels, label_path = joined(labels, found)
         used += [path, label_path]
         if last:
             break

@@ -135,6 +135,19 @@ def test_near_links_across_stars(spark):
     assert {r.component_id for r in neardup.near_duplicates(docs, 3, 85, 32, 6).collect()} == {0}
 
 
+def test_components_joined_by_further_links(spark):
+    from evalweave.llm.components import connected_components, joined
+
+    rng = random.Random(11)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    labels, _ = connected_components(frame(edges[:100]))
+    for part in (edges[100:101], edges[101:200], [], edges[200:]):
+        labels, _ = joined(labels, frame(part))
+    want, _ = connected_components(frame(edges))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_odd_sketch_bound():
     rng = np.random.default_rng(4)
     limit = lambda n: eval(neardup.odd_limit(repr(n), 0.85), {"exp": np.exp, "sqrt": np.sqrt, "power": pow, "least": min, "greatest": max})  # noqa: E731, S307
@@ -382,6 +395,19 @@ def test_segments_match_recursion():
         assert [(a, b, round(s, 6)) for a, b, s in got] == [(a, b, round(s, 6)) for a, b, s in _segments(scores, 0.25)]
 
 
+def test_segments_take_linear_time():
+    """Sums that fall, rise, or fall and rise: each word is looked at a few times, however many candidates there are."""
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        start = time.process_time()
+        for scores in ([1.0, -1.5] * n, [1.0, -0.5] * n, [1.0, -1.5] * n + [1.0, -0.5] * n):
+            toxicity.segments(np.arange(len(scores)), np.array(scores), 0.1)
+        took.append(time.process_time() - start)
+    assert took[1] < 40 * took[0]
+
+
 def test_toxicity(spark, docs, nothing, labels):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(200)]
