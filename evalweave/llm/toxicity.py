@@ -55,12 +55,15 @@ def hashed_terms(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 def segments(places: np.ndarray, scores: np.ndarray, gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last place, score), in one pass.
+    """All maximal scoring segments (first, last place, score), in one pass of linear time.
 
     ``places`` and ``scores`` are the words that score other than ``-gap``; positive ones
-    begin candidates, each merged leftwards while that raises its score.
+    begin candidates, each merged leftwards while that raises its score. A candidate knows
+    the nearest one before it that begins lower, so a search passes over those between;
+    where none begins lower, all candidates so far are final.
     """
-    out: list[list] = []  # first, last, sum before, sum after
+    done: list[tuple] = []
+    out: list[tuple] = []  # first, last, sum before, sum after, nearest candidate that begins lower
     total, at = 0.0, 0
     for place, score in zip(places.tolist(), scores.tolist(), strict=True):
         total -= gap * (place - at)
@@ -68,17 +71,21 @@ def segments(places: np.ndarray, scores: np.ndarray, gap: float) -> list[tuple[i
         before, total = total, total + score
         if score <= 0:
             continue
-        new = [place, place, before, total]
+        first, j = place, len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
+            while j >= 0 and out[j][2] >= before:
+                j = out[j][4]
+            if j < 0:
+                done += out
+                out = [(first, place, before, total, -1)]
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+            if out[j][3] >= total:
+                out.append((first, place, before, total, j))
+                break
+            first, _, before, _, lower = out[j]
             del out[j:]
-    return [(a, b, y - x) for a, b, x, y in out]
+            j = lower
+    return [(a, b, y - x) for a, b, x, y, _ in done + out]
 
 
 class Model(NamedTuple):
