@@ -85,7 +85,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     found = exact_duplicates(docs)
     per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept"))
-    per_id, path = stage(per_id.where("n > 1 OR NOT kept"), "copies")
+    per_id, _ = stage(per_id.where("n > 1 OR NOT kept"), "copies")
     clear = without(docs, per_id)
     # a doc_id of several rows: each row is judged by its own text
     rows, _ = near_slots(packed(docs), per_id.where("n > 1"), ["doc_id"])

@@ -283,7 +283,9 @@ class FingerprintIndex:
         # a context that the log has too is read where the log has it
         sources = [known.where("first = doc_id"), *(self.spark.read.schema(_TABLES["contexts"][0]).parquet(f"{self.path}/{r}/contexts") for r in self.state["runs"])]
         open_ = reduce(DataFrame.unionByName, [near_slots(s.select(*_KEY, "doc_id", "at"), several, ["fp"])[0] for s in sources])
-        open_ = open_.join(several.hint("merge"), "fp").groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))
+        # written, so that adaptive execution may split a fingerprint with many contexts; then dealt by the whole key
+        open_ = self._stage(open_.join(several.hint("merge"), "fp"), "fp-contexts")
+        open_ = open_.groupBy(*_KEY).agg(F.min_by("at", "doc_id").alias("at"), F.min("doc_id").alias("doc_id"))
         open_ = open_.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
         open_ = self._stage(open_, "fp-open")
         read = only(texts, open_).join(open_.hint("merge"), "doc_id").select("doc_id", "text", "spans")

@@ -95,3 +95,11 @@ def test_area_means_block_by_block():
             cover = lambda e, n: np.clip(np.minimum(e[1:, None], np.arange(1, n + 1)) - np.maximum(e[:-1, None], np.arange(n)), 0, None)
             want = cover(rows, shape[0]) @ grey @ cover(cols, shape[1]).T / ((rows[1] - rows[0]) * (cols[1] - cols[0]))
             assert np.allclose(media.area_resize(grey, height, width), want)
+
+
+def test_rows_of_one_id_are_counted_once(spark):
+    long = "y" * 100
+    rows = [(1, long), (1, long), (1, "y " * 100), (2, long), (3, long + "z"), (3, long + "z"), (4, "y" * 64), (4, "y" * 64), (5, long + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(docs).collect())
+    assert got == [(1, 1, 4, True)] * 3 + [(2, 1, 4, False)] + [(3, 5, 3, False)] * 2 + [(4, 4, 2, True)] * 2 + [(5, 5, 3, True)]
