@@ -31,7 +31,7 @@ def segment(start: Column, end: Column) -> Column:
 
 
 def merged(segments: Column) -> Column:
-    """Sorted segments, those that overlap or touch joined."""
+    """Sorted segments, those that overlap or touch joined: of the few segments of one row (``ranking.islands`` joins a table's)."""
 
     def put(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
@@ -133,7 +133,7 @@ def disjoint(candidates: Column, forbidden: Column, most: int) -> Column:
 
 
 def gap_merged(points: Column, least: float) -> Column:
-    """Sorted points, each at least ``least`` after the one kept before it."""
+    """Sorted points, each at least ``least`` after the one kept before it: of one row (``ranking.gap_merged`` takes a table's)."""
 
     def put(done: Column, t: Column) -> Column:
         return F.when((F.size(done) == 0) | (t - F.try_element_at(done, F.lit(-1)) >= least), F.concat(done, F.array(t))).otherwise(done)
@@ -142,7 +142,7 @@ def gap_merged(points: Column, least: float) -> Column:
 
 
 def short_merged(segments: Column, least: float = 30.0) -> Column:
-    """Segments in order; one shorter than ``least`` is joined with the next, and the pair is passed over."""
+    """Segments in order; one shorter than ``least`` is joined with the next, and the pair is passed over: of one row (``ranking.short_merged`` takes a table's)."""
 
     def put(state: Column, s: Column) -> Column:
         held = state["held"]
