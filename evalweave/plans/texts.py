@@ -221,14 +221,14 @@ def _colours(t: str) -> str:
 @query(f"""
 WITH t AS (SELECT * FROM {_TEXTS}), p AS (SELECT a.item_id, a.k, {_entities('a.t')} AS ref, {_entities('b.t')} AS pred, {_numbers('a.t')} AS n, {_numbers('b.t')} AS m, {_colours('a.t')} AS c, {_colours('b.t')} AS d FROM t a JOIN t b ON b.item_id = a.item_id AND b.k = (a.k * 2 + a.item_id) % {len(_INSERTS)}),
 x AS (SELECT *, CASE WHEN len(n) > 0 THEN len(list_filter(n, lambda x: NOT list_contains(m, x))) = 0 END AS numbers, CASE WHEN len(c) > 0 THEN len(list_filter(c, lambda x: NOT list_contains(d, x))) = 0 END AS colours FROM p)
-SELECT item_id, k, round(len(list_filter(ref, lambda e: len(list_filter(pred, lambda q: q = e OR lower(q) = lower(e) OR {_plain_number('q')} = {_plain_number('e')})) > 0))::DOUBLE / nullif(len(ref), 0), 6) AS recall, CASE WHEN numbers IS NULL THEN colours WHEN colours IS NULL THEN numbers ELSE numbers AND colours END AS details FROM x
+SELECT item_id, k, round(len(list_filter(ref, lambda e: len(list_filter(pred, lambda q: q = e OR lower(q) = lower(e) OR {_plain_number('q')} = {_plain_number('e')})) > 0))::DOUBLE / nullif(len(ref), 0), 6) AS recall, coalesce((CASE WHEN numbers IS NULL THEN colours WHEN colours IS NULL THEN numbers ELSE numbers AND colours END)::INT, -1) AS details FROM x
 """)
 def f20_f21_entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _inserted(spark, sf_dir)
     a = rows.withColumn("j", (F.col("k") * 2 + F.col("item_id")) % len(_INSERTS))
     b = rows.select("item_id", F.col("k").alias("j"), F.col("t").alias("u"))
     t, u = F.col("t"), F.col("u")
-    return a.join(b, ["item_id", "j"]).select("item_id", "k", F.round(text.entity_recall(t, u), 6).alias("recall"), text.details_match(t, u).alias("details"))
+    return a.join(b, ["item_id", "j"]).select("item_id", "k", F.round(text.entity_recall(t, u), 6).alias("recall"), F.coalesce(text.details_match(t, u).cast("int"), F.lit(-1)).alias("details"))
 
 
 _TOLD = ["Red car, 3 kg at 12:30", "He saw Paris and 1,200 birds", "nothing"]
