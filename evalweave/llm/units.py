@@ -12,6 +12,8 @@ it as that token.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 import os
@@ -91,7 +93,7 @@ class Memo:
 class UnitEncoder:
     """Ids of texts as unsigned 32-bit integers."""
 
-    def __init__(self, path: str, half: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, half: int = 250_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -257,5 +259,11 @@ def encoder(path: str) -> UnitEncoder:
 
 
 def forget() -> None:
-    """Drop this worker's encoders and their memos; operators that encode nothing call it before they work."""
+    """Drop this worker's encoders and their memos, and give their memory back; operators that encode nothing call it before they work."""
+    if not _encoders:
+        return
     _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
