@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Blanks that DuckDB's trim takes off: Unicode's space separators.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def first_nonempty(*columns: Column) -> Column:
     """The first value that is neither null nor an empty string."""
@@ -32,6 +37,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+def re2(pattern: str) -> str:
+    r"""A pattern for Java that finds what DuckDB (RE2) finds by the pattern without its ``(?U)``.
+
+    ``\b`` and ``\s`` are those of ASCII, without the vertical tab; only a line feed ends a line; where case is ignored,
+    the long s and the Kelvin sign are an s and a k. (No s or k may stand in a range or a name.)
+    """
+    plain = pattern.replace("(?U)", "")
+    if plain.startswith("(?i)"):
+        plain = re.sub(r"(?<!\\)[sk]", lambda m: {"s": "[s\u017f]", "k": "[k\u212a]"}[m[0]], plain)
+    edge = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+    return "(?d)" + plain.replace(r"\b", edge).replace(r"\s", r"[\t\n\f\r ]")
+
+
 def upper_median(values: Column) -> Column:
     """sorted[n // 2] of an array; null if it is empty."""
     s = F.array_sort(values)

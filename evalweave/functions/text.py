@@ -200,15 +200,21 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def answer_letter(raw: Column) -> Column:
-    """A to E: a leading one, one in parentheses, "answer is X", or the first there is."""
+def answer_letter(raw: Column, read: Callable[[str], str] = str) -> Column:
+    """A to E: a leading one, one in parentheses, "answer is X", or the first there is.
+
+    ``read``: how patterns are to be read, as for :func:`final_letter`.
+    """
     t = F.trim(raw)
-    return F.coalesce(_found(t, LEADING), _found(t, BRACKETED), F.upper(_found(t, NAMED)), _found(t, ANY), F.lit(""))
+    return F.coalesce(_found(t, read(LEADING)), _found(t, read(BRACKETED)), F.upper(_found(t, read(NAMED))), _found(t, read(ANY)), F.lit(""))
 
 
-def final_letter(raw: Column) -> Column:
-    """A to E: after "Final Answer:", one in parentheses, one alone on its line, or the first that stands alone."""
-    return F.coalesce(F.upper(_found(raw, FINAL)), F.upper(_found(raw, BRACKETED_ANY)), F.upper(_found(raw, ALONE)), _found(raw, WORD), F.lit(""))
+def final_letter(raw: Column, read: Callable[[str], str] = str) -> Column:
+    """A to E: after "Final Answer:", one in parentheses, one alone on its line, or the first that stands alone.
+
+    ``read``: how patterns are to be read. As they are, letters beyond ASCII are parts of words, as in Python; by ``semantics.re2`` they are not, as in SQL.
+    """
+    return F.coalesce(F.upper(_found(raw, read(FINAL))), F.upper(_found(raw, read(BRACKETED_ANY))), F.upper(_found(raw, read(ALONE))), _found(raw, read(WORD)), F.lit(""))
 
 
 def committed_letter(raw: Column, choices: Column) -> Column:
